@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from .bpe import op6_bpe
+from .decontaminate import OP3_SQL, op3_decontaminate
 from .line_dedup import op1_line_dedup
+from .quality import op10_quality
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op3_decontaminate": op3_decontaminate,
+    "op6_bpe": op6_bpe,
+    "op10_quality": op10_quality,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_decontaminate": OP3_SQL,
+}
