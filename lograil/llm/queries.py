@@ -5,11 +5,13 @@ from __future__ import annotations
 from .bpe import op6_bpe
 from .decontaminate import OP3_SQL, op3_decontaminate
 from .line_dedup import op1_line_dedup
+from .near_dedup import op4_near_dedup
 from .quality import op10_quality
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op3_decontaminate": op3_decontaminate,
+    "op4_near_dedup": op4_near_dedup,
     "op6_bpe": op6_bpe,
     "op10_quality": op10_quality,
 }
