@@ -246,5 +246,5 @@ def without_lines(docs: DataFrame, gone: DataFrame) -> DataFrame:
     lines = F.split("text", "\n")
     kept = F.filter(lines, lambda x, i: ~F.array_contains("_gone", i))
     rest = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    out = plain.withColumn("text", rest).where(F.col("_gone").isNull() | F.col("text").rlike(r"(?U)\\S"))
+    out = plain.withColumn("text", rest).where(F.col("_gone").isNull() | F.col("text").rlike(r"(?U)\S"))
     return out.withColumn("n_chars", F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))).drop("_doc", "_hash", "_gone")

@@ -93,3 +93,9 @@ def test_components(spark):
     got = {(r.node, r.root) for r in components(spark.createDataFrame(edges, "a long, b long").repartition(9)).collect()}
     assert got == {(x, links.find(x)) for x in list(links.parent)}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_documents_keep_their_other_lines(spark):
+    docs = spark.createDataFrame([(1, "shared line\nmine"), (2, "yours\nshared line\n\nend"), (3, "shared line\n \u2003\n")], "doc_id long, text string").withColumn("n_chars", F.length("text").cast("long"))
+    out = {(r.doc_id, r.text, r.n_chars) for r in without_lines(docs, line_dedup(docs)).collect()}
+    assert out == {(1, "shared line\nmine", 16), (2, "yours\n\nend", 10)}
