@@ -7,15 +7,20 @@ from .decontaminate import OP3_SQL, op3_decontaminate
 from .line_dedup import op1_line_dedup
 from .near_dedup import op4_near_dedup
 from .quality import op10_quality
+from .secrets import op2_secret_scan
+from .transport_stream import OP8_SQL, op8_transport_stream
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_secret_scan": op2_secret_scan,
     "op3_decontaminate": op3_decontaminate,
     "op4_near_dedup": op4_near_dedup,
     "op6_bpe": op6_bpe,
+    "op8_transport_stream": op8_transport_stream,
     "op10_quality": op10_quality,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_decontaminate": OP3_SQL,
+    "op8_transport_stream": OP8_SQL,
 }
