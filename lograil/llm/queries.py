@@ -9,6 +9,7 @@ from .near_dedup import op4_near_dedup
 from .quality import op10_quality
 from .secrets import op2_secret_scan
 from .transport_stream import OP8_SQL, op8_transport_stream
+from .warc import OP9_SQL, op9_warc
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
@@ -17,10 +18,12 @@ QUERIES = {
     "op4_near_dedup": op4_near_dedup,
     "op6_bpe": op6_bpe,
     "op8_transport_stream": op8_transport_stream,
+    "op9_warc": op9_warc,
     "op10_quality": op10_quality,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_decontaminate": OP3_SQL,
     "op8_transport_stream": OP8_SQL,
+    "op9_warc": OP9_SQL,
 }
