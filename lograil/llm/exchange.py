@@ -18,7 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 U64 = np.uint64
-FLUSH_BYTES = 48 << 20
+#: A flush briefly needs about five times this.
+FLUSH_BYTES = 12 << 20
 SCHEMA = "part int, block binary"
 _ARROW = pa.schema([("part", pa.int32()), ("block", pa.binary())])
 

@@ -163,16 +163,30 @@ def shingle_set(line: str) -> np.ndarray:
 
 
 def verify(names: list, sets: list[np.ndarray], threshold: float) -> list[tuple]:
-    """Links of the components that all pairs of Jaccard >= threshold form; pairs already connected are skipped."""
-    links, found = UnionFind(), []
+    """Links of the components that all pairs of Jaccard >= threshold form.
+
+    A set is compared with the members of each component until one is alike, so n
+    sets of one component cost about n comparisons.
+    """
+    found: list[tuple] = []
+    groups: list[list[int]] = []  # components, members by rising size
     order = sorted(range(len(names)), key=lambda i: (len(sets[i]), names[i]))
-    for x, i in enumerate(order):
-        for j in reversed(order[:x]):  # shrinking sets: beyond the size ratio no pair can reach the threshold
-            if len(sets[j]) < threshold * len(sets[i]):
-                break
-            if links.find(names[i]) != links.find(names[j]) and jaccard(sets[i], sets[j]) >= threshold:
-                links.union(names[i], names[j])
-                found.append((names[i], names[j]))
+    for place, i in enumerate(order):
+        joined, apart = [], []
+        for group in groups:
+            for x in reversed(group):
+                if len(sets[order[x]]) < threshold * len(sets[i]):  # and all before it are smaller still
+                    apart.append(group)
+                    break
+                if names[order[x]] == names[i] or jaccard(sets[order[x]], sets[i]) >= threshold:
+                    found.append((names[order[x]], names[i]))
+                    joined.append(group)
+                    break
+            else:
+                apart.append(group)
+        # a component whose largest member is too small for this set is too small for all that follow
+        groups = [g for g in apart if len(sets[order[g[-1]]]) >= threshold * len(sets[i])]
+        groups.append([*sorted(x for g in joined for x in g), place])
     return found
 
 
