@@ -172,11 +172,15 @@ def _extend(parts: int):
     return run
 
 
+def meet(docs: DataFrame, parts: int) -> DataFrame:
+    """Seeds joined on equal anchors: blocks of intervals (part >= 0), and the seeds that must fetch their contexts (part < 0)."""
+    return docs.mapInArrow(_seeds(parts), SCHEMA).repartitionById(parts, "part").mapInArrow(_met(parts), _MET)
+
+
 def substring_repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, start_word, end_word, n_words, other_doc_id): the maximal spans that other documents repeat."""
     docs, parts, tables = plain(docs), parts_of(docs.sparkSession), Tables(docs.sparkSession)
-    met = docs.mapInArrow(_seeds(parts), SCHEMA).repartitionById(parts, "part").mapInArrow(_met(parts), _MET)
-    met = tables.write("met", met)
+    met = tables.write("met", meet(docs, parts))
     wanted = met.where("part < 0").groupBy("doc_id").agg(F.collect_list(F.struct("place", "anchor")).alias("wanted"))
     fetched = docs.join(wanted, "doc_id").select("doc_id", "text", "wanted").mapInArrow(_fetch(parts), SCHEMA)
     extended = fetched.repartitionById(parts, "part").mapInArrow(_extend(parts), SCHEMA)

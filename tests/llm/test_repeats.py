@@ -5,12 +5,12 @@ import re
 
 import pytest
 
-from lograil.llm import substring_dedup
+from lograil.llm import substring_dedup, suffix_dedup
 from lograil.llm.repeats import GRAM, MIN_WORDS, winnow
 from lograil.llm.text import Words
 
-OPERATORS = {"seed and extend": substring_dedup.substring_repeats}
-QUERIES = {"seed and extend": substring_dedup.op7_substring_dedup}
+OPERATORS = {"suffix array": suffix_dedup.suffix_repeats, "seed and extend": substring_dedup.substring_repeats}
+QUERIES = {"suffix array": suffix_dedup.op5_suffix_dedup, "seed and extend": substring_dedup.op7_substring_dedup}
 
 
 def tokens(text):
@@ -90,3 +90,25 @@ def test_winnowing_selects_in_every_window():
     for row in range(len(texts)):
         for p in range(int(words.first[row]), int(words.first[row + 1]) - MIN_WORDS + 1):
             assert at & set(range(p, p + MIN_WORDS - GRAM + 1))
+
+
+def coded(strings):
+    out, last = [], b""
+    for s in sorted(strings):
+        common = 0
+        while common < len(s) // 4 and last[4 * common : 4 * common + 4] == s[4 * common : 4 * common + 4]:
+            common += 1
+        out.append((common, s, None))
+        last = s
+    return out
+
+
+@pytest.mark.parametrize("k", [0, 1, 2, 3, 7, 16])
+def test_loser_tree_merges_and_never_compares_known_prefixes(k):
+    rng = random.Random(k)
+    runs = [coded([b"".join(bytes([0, 0, 0, rng.choice([0, 0, 0, 1])]) for _ in range(24)) for _ in range(rng.choice([0, 1, 40]))]) for _ in range(k)]
+    tree = suffix_dedup.LoserTree(runs)
+    got = list(tree)
+    assert got == coded([s for r in runs for _, s, _ in r])
+    # each comparison that reads symbols ends with one that differs, all others it reads become known
+    assert tree.compared <= len(got) * (max(1, k) - 1).bit_length() + 24 * max(1, len(got))
