@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .exchange import batches
+from .memory import task
 
 #: The pre-tokenising pattern of the rank files in use.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -101,7 +102,7 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str = PATTERN) ->
             )
 
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return docs.mapInArrow(run, "doc_id long, tokens array<int>, n_tokens long, n_bytes long, round_trip boolean")
+    return docs.mapInArrow(task(run), "doc_id long, tokens array<int>, n_tokens long, n_bytes long, round_trip boolean")
 
 
 def decoder(spark, path: str | None = None, pattern: str = PATTERN):

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .memory import task
 from .storage import cut
 
 
@@ -57,7 +58,7 @@ def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     row too.  A round holds one row a node, however large a component is.
     """
     edges = edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a is not null and b is not null and a <> b")
-    stars = cut(edges.mapInArrow(_contract, "a long, b long").where("a <> b"))
+    stars = cut(edges.mapInArrow(task(_contract), "a long, b long").where("a <> b"))
     before = None
     for _ in range(max_rounds):
         now = tuple(stars.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.count_distinct("a")).first())

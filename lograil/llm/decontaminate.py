@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .exchange import batches
+from .memory import task
 from .text import Words
 
 N, SHORTEST, DROP_SHARE, SLICE_WORDS = 10, 5, 0.5, 2_000_000
@@ -131,7 +132,7 @@ def _marked(docs: DataFrame, benchmark: DataFrame, n: int, shortest: int, slice_
     for i in range(slices):
         part = items if slices == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(slices)) == i)
         shared = spark.sparkContext.broadcast(Grams(part.collect(), n, shortest))
-        out = out.mapInArrow(_mark(shared), schema)
+        out = out.mapInArrow(task(_mark(shared)), schema)
     return out
 
 

@@ -17,6 +17,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from .memory import task
+
 U64 = np.uint64
 #: A flush briefly needs about five times this.
 FLUSH_BYTES = 12 << 20
@@ -100,7 +102,7 @@ def reduce_blocks(df: DataFrame, dtypes: list[str], function: Callable[..., Iter
             del blocks
             yield from function(*columns)
 
-    return df.repartitionById(parts or parts_of(df.sparkSession), "part").mapInArrow(run, schema)
+    return df.repartitionById(parts or parts_of(df.sparkSession), "part").mapInArrow(task(run), schema)
 
 
 def runs(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

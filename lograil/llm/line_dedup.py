@@ -38,6 +38,7 @@ from pyspark.sql import functions as F
 
 from .components import UnionFind, components
 from .exchange import SCHEMA, Packer, batches, part_by, parts_of, runs, unpack
+from .memory import task
 from .storage import Tables, cut
 from .text import PrefixHash, codepoints, minhash, mix, shingles32
 
@@ -230,21 +231,21 @@ def line_dedup(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null and text is not null")
     parts, tables = parts_of(spark), Tables(spark)
-    met = docs.mapInArrow(_scan(parts), SCHEMA).repartitionById(parts, "part").mapInArrow(_reduce, "kind int, h long, doc_id long, line_no int, places long, members array<long>")
+    met = docs.mapInArrow(task(_scan(parts)), SCHEMA).repartitionById(parts, "part").mapInArrow(task(_reduce), "kind int, h long, doc_id long, line_no int, places long, members array<long>")
     met = tables.write("met", met)
     first = met.where("kind = 0").select("h", "doc_id", "line_no", "places")
     buckets = met.where("kind = 1").select("members").distinct().select(F.xxhash64("members").alias("bucket"), F.explode("members").alias("h"))
     wanted = buckets.join(first.select("h", "doc_id", "line_no"), "h").groupBy("doc_id").agg(F.collect_list(F.struct("bucket", "h", "line_no")).alias("wanted"))
     # rows may repeat a doc_id with another text: only lines that hash as they should go on
-    fetched = docs.join(wanted, "doc_id").select("text", "wanted").mapInArrow(_fetch, "bucket long, h long, line string")
+    fetched = docs.join(wanted, "doc_id").select("text", "wanted").mapInArrow(task(_fetch), "bucket long, h long, line string")
     grouped = fetched.dropDuplicates(["bucket", "h"]).groupBy("bucket").agg(F.collect_list(F.struct("h", "line")).alias("x"))
-    edges = grouped.select(F.col("x.h").alias("h"), F.col("x.line").alias("line")).mapInArrow(_check(threshold), "a long, b long")
+    edges = grouped.select(F.col("x.h").alias("h"), F.col("x.line").alias("line")).mapInArrow(task(_check(threshold)), "a long, b long")
     labels = components(edges)
     keeper = first.join(labels.withColumnRenamed("node", "h"), "h", "left").where("root is not null or places > 1").withColumn("root", F.coalesce("root", "h"))
     best = keeper.groupBy("root").agg(F.min(F.struct("doc_id", "line_no")).alias("k"))
     keeper = cut(keeper.join(best, "root").select("h", F.col("k.doc_id").alias("keep_doc_id"), F.col("k.line_no").alias("keep_line_no")))
     tables.drop()
-    places = docs.withColumn("text_hash", F.xxhash64("text")).mapInArrow(_places, "doc_id long, line_no int, h long, text_hash long")
+    places = docs.withColumn("text_hash", F.xxhash64("text")).mapInArrow(task(_places), "doc_id long, line_no int, h long, text_hash long")
     gone = places.join(keeper, "h").where("doc_id <> keep_doc_id or line_no <> keep_line_no")
     return gone.select("doc_id", "line_no", "keep_doc_id", "keep_line_no", "text_hash")
 

@@ -47,6 +47,7 @@ from pyspark.sql import functions as F
 from .components import UnionFind, components
 from .exchange import SCHEMA, Packer, batches, part_by, parts_of, runs, unpack
 from .line_dedup import verify
+from .memory import task
 from .storage import cut
 from .text import U64, PrefixHash, Words, minhash, mix
 
@@ -301,14 +302,14 @@ def near_groups(docs: DataFrame, threshold: float = THRESHOLD, trees: int = TREE
     spark, parts = docs.sparkSession, parts_of(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null and text is not null")
     depth = max(0, math.ceil(math.log(max(1, docs.count()) / node) / math.log(SPREAD)))
-    blocks = docs.mapInArrow(_scan(parts), SCHEMA).repartitionById(parts, "part").mapInArrow(_branch(parts, depth, trees, threshold), SCHEMA)
+    blocks = docs.mapInArrow(task(_scan(parts)), SCHEMA).repartitionById(parts, "part").mapInArrow(task(_branch(parts, depth, trees, threshold)), SCHEMA)
     kinds = "kind int, a long, b long"
-    met = cut(blocks.repartitionById(parts, "part").mapInArrow(_meet(threshold, node), kinds))
+    met = cut(blocks.repartitionById(parts, "part").mapInArrow(task(_meet(threshold, node)), kinds))
     copies, candidates = met.where("kind = 0"), met.where("kind = 1")
     while not met.where("kind = 2").isEmpty():
         on = met.where("kind = 2").groupBy(F.col("a").alias("doc_id")).agg(F.collect_set("b").alias("paths"))
-        blocks = docs.join(on, "doc_id").select("doc_id", "text", "paths").mapInArrow(_onward(parts, threshold), SCHEMA)
-        met = cut(blocks.repartitionById(parts, "part").mapInArrow(_meet(threshold, node), kinds))
+        blocks = docs.join(on, "doc_id").select("doc_id", "text", "paths").mapInArrow(task(_onward(parts, threshold)), SCHEMA)
+        met = cut(blocks.repartitionById(parts, "part").mapInArrow(task(_meet(threshold, node)), kinds))
         candidates = candidates.union(met.where("kind = 1"))
     labels = components(candidates.select("a", "b"))
     chunks = labels.groupBy("root").agg(F.ceil(F.count("*") / chunk).cast("int").alias("chunks"))
@@ -317,7 +318,7 @@ def near_groups(docs: DataFrame, threshold: float = THRESHOLD, trees: int = TREE
     fetched = docs.join(labels, "doc_id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     key = F.xxhash64("root", F.least("mine", "other"), F.greatest("mine", "other"))
     fetched = fetched.select(key.alias("key"), "doc_id", "text").repartition("key").sortWithinPartitions("key", "doc_id")
-    edges = fetched.mapInArrow(_verify(threshold), "a long, b long")
+    edges = fetched.mapInArrow(task(_verify(threshold)), "a long, b long")
     return components(edges.union(copies.select("a", "b"))).select(F.col("node").alias("doc_id"), F.col("root").alias("keep_doc_id"))
 
 

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .exchange import Packer, part_by, runs, unpack
+from .memory import task
 from .text import U64, PrefixHash, Words, mix
 
 MIN_WORDS, GRAM = 50, 16
@@ -97,7 +98,7 @@ def spans(blocks: DataFrame, parts: int) -> DataFrame:
             doc, start, end, other = union_of(*unpack(held, INTERVAL))
             yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(start), pa.array(end), pa.array(end - start), pa.array(other)], names=["doc_id", "start_word", "end_word", "n_words", "other_doc_id"])
 
-    return blocks.select("part", "block").repartitionById(parts, "part").mapInArrow(run, SPANS)
+    return blocks.select("part", "block").repartitionById(parts, "part").mapInArrow(task(run), SPANS)
 
 
 def plain(docs: DataFrame) -> DataFrame:

@@ -38,6 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .exchange import batches
+from .memory import task
 
 MAX_LAYER = 64 << 20
 
@@ -277,7 +278,7 @@ def secret_scan(docs: DataFrame, max_layer: int = MAX_LAYER) -> DataFrame:
             )
 
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return docs.mapInArrow(run, "doc_id long, kind string, start_char int, end_char int, depth int, layers string, preview string, sha256 string")
+    return docs.mapInArrow(task(run), "doc_id long, kind string, start_char int, end_char int, depth int, layers string, preview string, sha256 string")
 
 
 def op2_secret_scan(spark, sf_dir: str) -> DataFrame:

@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .exchange import SCHEMA, Packer, batches, part_by, parts_of, runs, unpack
+from .memory import task
 from .repeats import INTERVAL, MIN_WORDS, REACH, WIDTH, pack_intervals, plain, reach, several_docs, spans, winnow
 from .storage import Tables
 from .text import U64, PrefixHash, Words, mix
@@ -174,7 +175,7 @@ def _extend(parts: int):
 
 def meet(docs: DataFrame, parts: int) -> DataFrame:
     """Seeds joined on equal anchors: blocks of intervals (part >= 0), and the seeds that must fetch their contexts (part < 0)."""
-    return docs.mapInArrow(_seeds(parts), SCHEMA).repartitionById(parts, "part").mapInArrow(_met(parts), _MET)
+    return docs.mapInArrow(task(_seeds(parts)), SCHEMA).repartitionById(parts, "part").mapInArrow(task(_met(parts)), _MET)
 
 
 def substring_repeats(docs: DataFrame) -> DataFrame:
@@ -182,8 +183,8 @@ def substring_repeats(docs: DataFrame) -> DataFrame:
     docs, parts, tables = plain(docs), parts_of(docs.sparkSession), Tables(docs.sparkSession)
     met = tables.write("met", meet(docs, parts))
     wanted = met.where("part < 0").groupBy("doc_id").agg(F.collect_list(F.struct("place", "anchor")).alias("wanted"))
-    fetched = docs.join(wanted, "doc_id").select("doc_id", "text", "wanted").mapInArrow(_fetch(parts), SCHEMA)
-    extended = fetched.repartitionById(parts, "part").mapInArrow(_extend(parts), SCHEMA)
+    fetched = docs.join(wanted, "doc_id").select("doc_id", "text", "wanted").mapInArrow(task(_fetch(parts)), SCHEMA)
+    extended = fetched.repartitionById(parts, "part").mapInArrow(task(_extend(parts)), SCHEMA)
     return spans(met.where("part >= 0").select("part", "block").union(extended), parts)
 
 

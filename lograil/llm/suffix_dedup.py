@@ -38,6 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .exchange import FLUSH_BYTES, SCHEMA, Packer, batches, part_by, parts_of
+from .memory import task
 from .repeats import INTERVAL, MIN_WORDS, REACH, pack_intervals, plain, several_docs, spans
 from .storage import Tables
 from .substring_dedup import contexts, meet, wanted_places
@@ -225,8 +226,8 @@ def suffix_repeats(docs: DataFrame) -> DataFrame:
     docs, parts, tables = plain(docs), parts_of(docs.sparkSession), Tables(docs.sparkSession)
     met = tables.write("met", meet(docs, parts))
     wanted = met.where("part < 0").groupBy("doc_id").agg(F.collect_list(F.struct("place", "anchor")).alias("wanted"))
-    sorted_runs = docs.join(wanted, "doc_id").select("doc_id", "text", "wanted").mapInArrow(_runs(parts), SCHEMA)
-    merged = sorted_runs.repartitionById(parts, "part").mapInArrow(_merge(parts), SCHEMA)
+    sorted_runs = docs.join(wanted, "doc_id").select("doc_id", "text", "wanted").mapInArrow(task(_runs(parts)), SCHEMA)
+    merged = sorted_runs.repartitionById(parts, "part").mapInArrow(task(_merge(parts)), SCHEMA)
     return spans(met.where("part >= 0").select("part", "block").union(merged), parts)
 
 

@@ -29,6 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .memory import task
+
 PACKET, SYNC, WRAP = 188, 0x47, 1 << 33
 VIDEO, AUDIO = 0x101, 0x102
 
@@ -261,7 +263,7 @@ def elementary_packets(streams: DataFrame, id_column: str, media: str) -> DataFr
                     yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array([getattr(u, n) for u in rows], t) for n, t in _ROW)], names=names)
                     ids, rows, held = [], [], 0
 
-    return streams.select(F.col(id_column).cast("long"), F.col(media).cast("binary")).mapInArrow(run, SCHEMA)
+    return streams.select(F.col(id_column).cast("long"), F.col(media).cast("binary")).mapInArrow(task(run), SCHEMA)
 
 
 # A multiplexer, for streams to test on.

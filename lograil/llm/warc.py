@@ -36,6 +36,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .memory import task
 from .storage import cut, shared_dir
 
 CHUNK, FLUSH, BUFFER = 1 << 16, 4 << 20, 1 << 18
@@ -172,7 +173,7 @@ def read_warc(files: DataFrame, column: str = "file", chunk: int = CHUNK) -> Dat
                             rows, held = [], 0
         yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
 
-    return files.select(F.col(column).cast("string")).where(F.col(column).isNotNull()).mapInArrow(run, SCHEMA)
+    return files.select(F.col(column).cast("string")).where(F.col(column).isNotNull()).mapInArrow(task(run), SCHEMA)
 
 
 def _record(record_id: str | None, uri: str | None, block: bytes) -> bytes:
@@ -209,7 +210,7 @@ def write_warc(pages: DataFrame, record_id: str, uri: str, content: str, folder:
             out.close()
             yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"])], names=["file"])
 
-    return cut(pages.select(F.col(record_id).cast("string"), F.col(uri).cast("string"), F.col(content).cast("binary")).mapInArrow(run, "file string"))
+    return cut(pages.select(F.col(record_id).cast("string"), F.col(uri).cast("string"), F.col(content).cast("binary")).mapInArrow(task(run), "file string"))
 
 
 def op9_warc(spark, sf_dir: str) -> DataFrame:
