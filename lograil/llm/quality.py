@@ -29,10 +29,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .exchange import batches
+from .memory import task
 from .text import PrefixHash, codepoints, tables
 
 BITS, MAX_LABELLED, MIN_DOCS, ALPHA, C, EPOCHS, SEED = 20, 20_000, 3, 1.0, 4.0, 12, 10
@@ -94,10 +96,8 @@ def fit(sets: list[np.ndarray], labels: np.ndarray, bits: int = BITS, alpha: flo
         (p if y else q)[places] += 1
     usable = p + q - 2 * alpha >= min_docs
     r = np.where(usable, np.log((p / p[usable].sum()) / (q / q[usable].sum())), 0.0)
-    rows = [x[usable[x]] for x in sets]
     # rows are scaled to unit length, so that long documents weigh no more; the intercept is one more feature
-    values = [r[x] for x in rows]
-    norms = [max(1e-12, float(np.sqrt(v @ v + 1.0))) for v in values]
+    norms = [max(1e-12, float(np.sqrt((v := r[x]) @ v + 1.0))) for x in sets]
     y = np.where(good, 1.0, -1.0)
     w, b = np.zeros(size), 0.0
     dual = np.zeros(len(y))
@@ -105,7 +105,8 @@ def fit(sets: list[np.ndarray], labels: np.ndarray, bits: int = BITS, alpha: flo
     for _ in range(epochs):
         moved = 0.0
         for i in rng.permutation(len(y)):
-            x, v, k = rows[i], values[i], norms[i]
+            x, k = sets[i], norms[i]
+            v = r[x]
             gradient = y[i] * (w[x] @ v + b) / k - 1.0
             old = dual[i]
             new = min(max(old - gradient, 0.0), c)
@@ -135,14 +136,19 @@ def _sample(docs: DataFrame, labels: DataFrame, limit: int) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(places.astype(np.int32)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), lists], names=["doc_id", "quality", "toxic", "places"])
 
-    return found.select("doc_id", "text", "quality", "toxic").mapInArrow(run, "doc_id long, quality int, toxic int, places array<int>")
+    return found.select("doc_id", "text", "quality", "toxic").mapInArrow(task(run), "doc_id long, quality int, toxic int, places array<int>")
 
 
 def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> dict[str, Model | None]:
     """The models of 'quality' (1: good) and 'toxic' (1: toxic)."""
     table = _sample(docs, labels, max_labelled).toArrow()
-    table = table.take(pa.compute.sort_indices(table, [("doc_id", "ascending"), ("quality", "ascending"), ("toxic", "ascending")])) if table.num_rows else table
-    sets = [x.values.to_numpy() for x in table.column("places")]
+    order = pa.compute.sort_indices(table, [("doc_id", "ascending"), ("quality", "ascending"), ("toxic", "ascending")]).to_numpy() if table.num_rows else []
+    found = []
+    for chunk in table.column("places").chunks:
+        values, ends = chunk.values.to_numpy(), chunk.offsets.to_numpy()
+        found += [values[a:b] for a, b in zip(ends[:-1], ends[1:])]
+    sets = [found[i] for i in order]
+    table = table.drop_columns("places").take(pa.array(order, pa.int64()))
     models = {}
     for label in ("quality", "toxic"):
         y = table.column(label).to_pylist()
