@@ -4,7 +4,9 @@ A document's text is the first layer.  Each layer is scanned for secrets and for
 encoded stretches: percent-encoding, backslash or character-reference escapes,
 base64 (both alphabets), hexadecimal, and, among bytes, gzip, zlib, bzip2, xz and
 zstandard streams.  What a stretch decodes to is a new layer on the worklist, until
-none is left.  A layer seen before (same content from the same place of the text) is not
+none is left.  Decoded bytes are scanned whatever they are: as UTF-8 in which bytes that
+are not valid stand for Latin-1 characters, and as UTF-16 where stretches of them look like it.
+A layer seen before (same content from the same place of the text) is not
 taken again, which ends cycles such as an archive that unpacks to itself.  Every
 layer carries a map from its characters to spans of the text, so a finding names
 the place in the document that hides it, however deep.
@@ -12,7 +14,8 @@ the place in the document that hides it, however deep.
 Defined results.  Null and empty texts have no findings.  Rows are scanned one by
 one: repeated rows repeat their findings, null ids stay null, other columns are
 ignored.  Where patterns overlap the earlier start wins, then the pattern listed
-first.  The same secret at the same place is reported once, at its least depth.
+first.  The same secret at the same place is reported once, at its least depth; places are the
+same where they share more than half of the shorter one.
 A decompressed layer of more than ``max_layer`` bytes is reported as a finding of
 kind 'oversized_layer' and not unpacked further.  Texts are scanned whole.  An empty
 table gives no rows.  Secrets themselves are not returned: ``preview`` has the first
@@ -29,7 +32,8 @@ import lzma
 import re
 import zlib
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
+from itertools import accumulate
 from urllib.parse import unquote_to_bytes
 
 import pyarrow as pa
@@ -55,11 +59,17 @@ PATTERNS = {
 _SECRET = re.compile("|".join(f"(?P<{k}>{p})" for k, p in PATTERNS.items()))
 #: Lower-case texts that some part of every secret contains.
 _HINTS = ("akia", "asia", "private key", "gh", "xox", "aiza", "k_live_", "eyj", "passw", "pwd", "secret", "token", "key")
+_HINT_BYTES = [h.encode() for h in _HINTS]
 _URL = re.compile(r"[!-$&-~]*(?:%[0-9A-Fa-f]{2}[!-$&-~]*)+")
 _ESCAPED = re.compile(r"(?:[!-~]*?(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|&#(?:[0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});))+[!-~]*")
 _ONE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|(&#(?:[0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});)")
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
 _HEX = re.compile(r"(?<![0-9A-Za-z])(?:[0-9A-Fa-f]{2}){16,}(?![0-9A-Za-z])")
+#: What bytes without a hint must hold to have layers of their own.
+_CODED = re.compile(rb"%[0-9A-Fa-f]{2}|\\[ux]|&#|[A-Za-z0-9+/_-]{16}")
+#: ASCII in UTF-16; a leading zero byte may be the first one's upper half.
+_WIDE = re.compile(rb"(\0?)(?:[\t\n\r -~]\0){4,}")
+_LATIN = {0xDC00 + x: x for x in range(0x80, 0x100)}
 _MAGIC = {b"\x1f\x8b\x08": "gzip", b"BZh": "bzip2", b"\xfd7zXZ\x00": "xz", b"\x28\xb5\x2f\xfd": "zstd", b"\x78\x01": "zlib", b"\x78\x5e": "zlib", b"\x78\x9c": "zlib", b"\x78\xda": "zlib"}
 
 
@@ -91,38 +101,71 @@ def decompress(data: bytes, limit: int = MAX_LAYER) -> tuple[str, bytes] | None:
     return None
 
 
-def as_text(data: bytes) -> str | None:
-    """Bytes that are mostly readable UTF-8 as text."""
-    try:
-        text = data.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    return text if text and sum(c.isprintable() or c in "\r\n\t" for c in text) >= 0.9 * len(text) else None
-
-
 class Layer:
-    """Text, and for each character the span of the document it comes from."""
+    """Text, and for each character the span of the document it comes from; ``rank`` above 0 if it is the packed form of other layers."""
 
-    __slots__ = ("text", "starts", "ends", "kinds")
+    __slots__ = ("text", "starts", "ends", "kinds", "rank")
 
-    def __init__(self, text: str, starts, ends, kinds: tuple[str, ...] = ()):
-        self.text, self.starts, self.ends, self.kinds = text, starts, ends, kinds
+    def __init__(self, text: str, starts, ends, kinds: tuple[str, ...] = (), rank: int = 0):
+        self.text, self.starts, self.ends, self.kinds, self.rank = text, starts, ends, kinds, rank
 
     def span(self, a: int, b: int) -> tuple[int, int]:
         return self.starts[a], self.ends[b - 1]
 
     def inner(self, kind: str, text: str, starts, ends) -> Layer:
-        return Layer(text, starts, ends, (*self.kinds, kind))
+        return Layer(text, starts, ends, (*self.kinds, kind), self.rank)
 
 
-class _Ends:
-    """ends of a document's own characters, without a list of them."""
+class _At:
+    """A list that is worked out where it is read."""
+
+    __slots__ = ("at",)
+
+    def __init__(self, at: Callable[[int], int]):
+        self.at = at
 
     def __getitem__(self, i: int) -> int:
-        return i + 1
+        return self.at(i)
+
 
+class Coded:
+    """Bytes, and for each the span of the document it comes from; ``fixed`` if they all have the same."""
 
-def _url(layer: Layer, a: int, b: int) -> Layer | None:
+    __slots__ = ("data", "starts", "ends", "kinds", "rank", "fixed")
+
+    def __init__(self, data: bytes, starts, ends, kinds: tuple[str, ...], rank: int, fixed: bool = False):
+        self.data, self.starts, self.ends, self.kinds, self.rank, self.fixed = data, starts, ends, kinds, rank, fixed
+
+    def view(self, text: str, sizes: Iterator[int] | None, first: int = 0) -> Layer:
+        """A layer of ``text``, whose characters have ``sizes`` bytes (None: one each) from ``first`` on."""
+        if self.fixed:
+            return Layer(text, self.starts, self.ends, self.kinds, self.rank)
+        at = range(first, first + len(text) + 1) if sizes is None else list(accumulate(sizes, initial=first))
+        return Layer(text, _At(lambda i: self.starts[at[i]]), _At(lambda i: self.ends[at[i + 1] - 1]), self.kinds, self.rank)
+
+
+def views(coded: Coded) -> Iterator[Layer]:
+    """The texts that these bytes may be, as far as any can have a secret or a layer."""
+    data = coded.data
+    low = data.lower()
+    if any(h in low for h in _HINT_BYTES) or _CODED.search(data):
+        text = data.decode("utf-8", "surrogateescape")
+        if data.isascii():
+            yield coded.view(text, None)
+        else:
+            sizes = (1 if c < "\x80" or "\udc80" <= c <= "\udcff" else 2 if c < "\u0800" else 3 if c < "\U00010000" else 4 for c in text)
+            yield coded.view(text.translate(_LATIN), sizes)
+    wide = set()
+    for m in _WIDE.finditer(data):
+        wide.add(("utf-16-le", m.end(1) % 2))
+        if m[1]:
+            wide.add(("utf-16-be", m.start() % 2))
+    for code, first in sorted(wide):
+        text = data[first : len(data) - (len(data) - first) % 2].decode(code, "surrogatepass")
+        yield coded.view(text, (4 if c > "\uffff" else 2 for c in text), first)
+
+
+def _url(layer: Layer, a: int, b: int) -> Coded:
     units, i = bytearray(), a  # bytes, and where each comes from
     where: list[tuple[int, int]] = []
     while i < b:
@@ -136,19 +179,7 @@ def _url(layer: Layer, a: int, b: int) -> Layer | None:
             units += raw
             where += [(i, i + 1)] * len(raw)
             i += 1
-    try:
-        text = bytes(units).decode("utf-8")
-    except UnicodeDecodeError:
-        text = bytes(units).decode("latin-1")
-        starts, ends = [layer.starts[x] for x, _ in where], [layer.ends[y - 1] for _, y in where]
-        return layer.inner("url", text, starts, ends)
-    starts, ends, at = [], [], 0
-    for c in text:
-        n = len(c.encode("utf-8"))
-        starts.append(layer.starts[where[at][0]])
-        ends.append(layer.ends[where[at + n - 1][1] - 1])
-        at += n
-    return layer.inner("url", text, starts, ends)
+    return Coded(bytes(units), _At(lambda j: layer.starts[where[j][0]]), _At(lambda j: layer.ends[where[j][1] - 1]), (*layer.kinds, "url"), layer.rank)
 
 
 def _hex2(x: str) -> bool:
@@ -180,38 +211,28 @@ def _escapes(layer: Layer, a: int, b: int) -> Layer | None:
     return layer.inner("unicode", "".join(text), starts, ends) if text else None
 
 
-def _bytes_layer(layer: Layer, kind: str, a: int, b: int, data: bytes, group: int, width: int, limit: int) -> Layer | None:
-    """A layer from ``data``, of which ``group`` bytes come from ``width`` characters; compressed data is unpacked, repeatedly."""
-    unpacked = decompress(data, limit)
-    if unpacked is None:
-        text = as_text(data)
-        if text is None:
-            return None
-        starts, ends, at = [], [], 0
-        for c in text:
-            n = len(c.encode("utf-8"))
-            first, last = a + at // group * width, min(b, a + ((at + n - 1) // group + 1) * width)
-            starts.append(layer.starts[first])
-            ends.append(layer.ends[last - 1])
-            at += n
-        return layer.inner(kind, text, starts, ends)
-    kinds, seen = [kind], set()
-    while unpacked and (mark := hashlib.sha256(unpacked[1]).digest()) not in seen:
-        seen.add(mark)
-        kinds.append(unpacked[0])
-        data = unpacked[1]
+def _bytes(layer: Layer, kind: str, chars: Sequence[int], data: bytes, group: int, width: int) -> Coded:
+    """``data``, of which ``group`` bytes come from ``width`` of these characters of the layer."""
+    last = len(chars) - 1
+    starts, ends = _At(lambda j: layer.starts[chars[j // group * width]]), _At(lambda j: layer.ends[chars[min(last, (j // group + 1) * width - 1)]])
+    return Coded(data, starts, ends, (*layer.kinds, kind), layer.rank)
+
+
+def streams(coded: Coded, limit: int, oversized: list) -> Iterator[Coded]:
+    """What these bytes unpack to."""
+    data = coded.data
+    start, end = coded.starts[0], coded.ends[len(data) - 1]
+    try:
         unpacked = decompress(data, limit)
-    text = as_text(data)
-    if text is None:
-        return None
-    start, end = layer.span(a, b)
-    new = Layer(text, [start] * len(text), [end] * len(text), layer.kinds + tuple(kinds))
-    return new
+    except Oversized:
+        oversized.append((start, end, coded.kinds))
+        return
+    if unpacked:
+        yield Coded(unpacked[1], _At(lambda _: start), _At(lambda _: end), (*coded.kinds, unpacked[0]), coded.rank, True)
 
 
-def children(layer: Layer, limit: int, oversized: list) -> Iterator[Layer]:
+def children(layer: Layer) -> Iterator[Layer | Coded]:
     text = layer.text
-    found: list[tuple[str, int, int, bytes | None, int, int]] = []
     if "%" in text:
         for m in _URL.finditer(text):
             yield _url(layer, *m.span())
@@ -220,46 +241,59 @@ def children(layer: Layer, limit: int, oversized: list) -> Iterator[Layer]:
             if new := _escapes(layer, *m.span()):
                 yield new
     for m in _HEX.finditer(text):
-        found.append(("hex", *m.span(), bytes.fromhex(m[0]), 1, 2))
+        yield _bytes(layer, "hex", range(*m.span()), bytes.fromhex(m[0]), 1, 2)
     for m in _BASE64.finditer(text):
         body = m[0].rstrip("=").replace("-", "+").replace("_", "/")
         body = body[: len(body) - (len(body) % 4 == 1)]
         try:
-            found.append(("base64", *m.span(), binascii.a2b_base64(body + "=" * (-len(body) % 4)), 3, 4))
+            yield _bytes(layer, "base64", range(*m.span()), binascii.a2b_base64(body + "=" * (-len(body) % 4)), 3, 4)
         except binascii.Error:
             continue
-    for kind, a, b, data, group, width in found:
-        try:
-            if new := _bytes_layer(layer, kind, a, b, data, group, width, limit):
-                yield new
-        except Oversized:
-            oversized.append((*layer.span(a, b), (*layer.kinds, kind)))
+
+
+def once(found: list[tuple]) -> list[tuple]:
+    """Without those whose secret has been found, no deeper, at a place that shares more than half of the shorter."""
+    kept: dict[tuple, list[tuple]] = {}
+    for x in sorted(found, key=lambda x: (x[6], x[3], x[2] - x[1], x[1])):
+        same = kept.setdefault((x[0], x[5]), [])
+        if not any(2 * (min(x[2], y[2]) - max(x[1], y[1])) > min(x[2] - x[1], y[2] - y[1]) for y in same if x[3]):
+            same.append(x)
+    return [x[:6] for same in kept.values() for x in same]
 
 
 def scan(text: str, limit: int = MAX_LAYER) -> list[tuple[str, int, int, int, str, str]]:
     """(kind, start, end, depth, layers, secret) of a document's findings, by place."""
-    work = deque([Layer(text, range(len(text)), _Ends())])
-    seen: set = set()
+    work: deque[Layer | Coded] = deque([Layer(text, range(len(text)), _At(lambda i: i + 1))])
+    seen: dict[tuple, int] = {}  # the least rank of each
     best: dict[tuple, tuple] = {}
     oversized: list = []
     while work:
         layer = work.popleft()
+        if isinstance(layer, Coded):
+            mark = (layer.starts[0], layer.ends[len(layer.data) - 1], hashlib.sha256(layer.data).digest())
+            if layer.rank < seen.get(mark, layer.rank + 1):
+                seen[mark] = layer.rank
+                unpacked = list(streams(layer, limit, oversized))
+                layer.rank += bool(unpacked)
+                work.extend(new for new in views(layer) if new.text)
+                work.extend(unpacked)
+            continue
         if layer.kinds:
-            mark = (layer.starts[0], layer.ends[len(layer.text) - 1], hashlib.sha256(layer.text.encode("utf-8", "surrogatepass")).digest())
-            if mark in seen:
+            mark = (layer.starts[0], layer.ends[len(layer.text) - 1], hashlib.sha256(layer.text.encode("utf-8", "surrogatepass")).digest(), "")
+            if layer.rank >= seen.get(mark, layer.rank + 1):
                 continue
-            seen.add(mark)
+            seen[mark] = layer.rank
         low = layer.text.lower()
         if any(h in low for h in _HINTS):
             for m in _SECRET.finditer(layer.text):
                 start, end = layer.span(*m.span())
                 key = (m.lastgroup, start, end, m[0])
-                if key not in best:
-                    best[key] = (m.lastgroup, start, end, len(layer.kinds), ">".join(layer.kinds), m[0])
-        work.extend(new for new in children(layer, limit, oversized) if new and new.text and new.text != layer.text)
+                if key not in best or (best[key][6], best[key][3]) > (layer.rank, len(layer.kinds)):
+                    best[key] = (m.lastgroup, start, end, len(layer.kinds), ">".join(layer.kinds), m[0], layer.rank)
+        work.extend(new for new in children(layer) if isinstance(new, Coded) or new.text != layer.text)
     for start, end, kinds in oversized:
-        best.setdefault(("oversized_layer", start, end, ""), ("oversized_layer", start, end, len(kinds), ">".join(kinds), ""))
-    return sorted(best.values(), key=lambda x: (x[1], x[2], x[0], x[3], x[5]))
+        best.setdefault(("oversized_layer", start, end, ""), ("oversized_layer", start, end, len(kinds), ">".join(kinds), "", 0))
+    return sorted(once(list(best.values())), key=lambda x: (x[1], x[2], x[0], x[3], x[5]))
 
 
 def secret_scan(docs: DataFrame, max_layer: int = MAX_LAYER) -> DataFrame:

@@ -2,9 +2,12 @@ import base64
 import bz2
 import gzip
 import hashlib
+import io
 import lzma
+import pickle
 import random
 import re
+import tarfile
 import urllib.parse
 import zlib
 
@@ -85,3 +88,22 @@ def test_edges(spark):
     assert got == [(0, "aws_access_key", 0, 0), (3, "aws_access_key", 0, 0), (3, "aws_access_key", 0, 0), (4, "aws_access_key", 2, 600_000), (5, "assigned", 0, 4), (6, "aws_access_key", 0, 0), (6, "aws_access_key", 0, 21)]
     assert secret_scan(df.where("false")).count() == 0
     assert urllib.parse.unquote(WRAPS["url"](b"abc")) == "abc"
+
+
+@pytest.mark.parametrize("code", ["utf-16", "utf-16-le", "utf-16-be", "latin-1"])
+def test_layers_in_other_encodings(code):
+    for wrap in ("base64", "hex", "base64>gzip"):
+        found = scan(f"see {WRAPS[wrap](f'café {KEY} é'.encode(code))} there")
+        assert [(x[0], x[4], x[5]) for x in found] == [("aws_access_key", wrap, KEY)]
+
+
+def test_layers_with_binary_content():
+    packed = io.BytesIO()
+    with tarfile.open(fileobj=packed, mode="w:gz") as tar:
+        info = tarfile.TarInfo("settings")
+        info.size = len(KEY)
+        tar.addfile(info, io.BytesIO(KEY.encode()))
+    for data in (packed.getvalue(), pickle.dumps({"key": KEY, "blob": bytes(range(256))}), bytes(range(128, 256)) + KEY.encode() + b"\0\xff"):
+        assert [x[5] for x in scan(f"see {WRAPS['base64'](data)} there")] == [KEY]
+    text = "see " + WRAPS["base64"](b"\xff\x80\xfe" * 3 + KEY.encode() + b"\0") + " there"
+    assert scan(text)[0][1:3] == (16, 44)  # the groups of the key's own bytes
