@@ -2,8 +2,8 @@
 
 A document's text is the first layer.  Each layer is scanned for secrets and for
 encoded stretches: percent-encoding, backslash or character-reference escapes,
-base64 (both alphabets), hexadecimal, and, among bytes, gzip, zlib, bzip2, xz and
-zstandard streams.  What a stretch decodes to is a new layer on the worklist, until
+base64 (both alphabets), hexadecimal, and, anywhere among the bytes that these
+give, gzip, zlib, bzip2, xz and zstandard streams (streams of one kind on end are one).  What a stretch decodes to is a new layer on the worklist, until
 none is left.  Decoded bytes are scanned whatever they are: as UTF-8 in which bytes that
 are not valid stand for Latin-1 characters, and as UTF-16 where stretches of them look like it.
 A layer seen before (same content from the same place of the text) is not
@@ -32,7 +32,7 @@ import lzma
 import re
 import zlib
 from collections import deque
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from itertools import accumulate
 from urllib.parse import unquote_to_bytes
 
@@ -70,35 +70,100 @@ _CODED = re.compile(rb"%[0-9A-Fa-f]{2}|\\[ux]|&#|[A-Za-z0-9+/_-]{16}")
 #: ASCII in UTF-16; a leading zero byte may be the first one's upper half.
 _WIDE = re.compile(rb"(\0?)(?:[\t\n\r -~]\0){4,}")
 _LATIN = {0xDC00 + x: x for x in range(0x80, 0x100)}
-_MAGIC = {b"\x1f\x8b\x08": "gzip", b"BZh": "bzip2", b"\xfd7zXZ\x00": "xz", b"\x28\xb5\x2f\xfd": "zstd", b"\x78\x01": "zlib", b"\x78\x5e": "zlib", b"\x78\x9c": "zlib", b"\x78\xda": "zlib"}
+_MAGIC = re.compile(rb"(?P<gzip>\x1f\x8b\x08[\0-\x1f])|(?P<bzip2>BZh[1-9](?:1AY&SY|\x17rE8P\x90))|(?P<xz>\xfd7zXZ\0)|(?P<zstd>\x28\xb5\x2f\xfd)|(?P<zlib>\x78[\x01\x5e\x9c\xda])", re.DOTALL)
+_WRONG = (zlib.error, OSError, EOFError, ValueError, lzma.LZMAError, zstandard.ZstdError)
+PIECE = 1 << 20
 
 
 class Oversized(Exception):
     pass
 
 
+class _Zstd:
+    """A zstandard frame, fed in small pieces, with the attributes of the other decompressors."""
+
+    def __init__(self):
+        self.inner, self.held, self.unused_data, self.eof, self.needs_input = zstandard.ZstdDecompressor(max_window_size=1 << 27).decompressobj(), memoryview(b""), b"", False, True
+
+    def decompress(self, data, most: int) -> bytes:
+        self.held = memoryview(data) if len(data) else self.held
+        piece, self.held = self.held[:256], self.held[256:]
+        out = self.inner.decompress(piece)
+        self.eof, self.needs_input = self.inner.eof, not len(self.held)
+        if self.eof:
+            self.unused_data = self.inner.unused_data + bytes(self.held)
+        return out
+
+
+class _Zlib:
+    """A zlib or gzip stream with the attributes of the other decompressors."""
+
+    def __init__(self, bits: int):
+        self.inner, self.unused_data, self.eof, self.needs_input = zlib.decompressobj(bits), b"", False, True
+
+    def decompress(self, data, most: int) -> bytes:
+        out = self.inner.decompress(data or self.inner.unconsumed_tail, most)
+        self.eof, self.unused_data = self.inner.eof, self.inner.unused_data
+        self.needs_input = not self.inner.unconsumed_tail and len(out) < most
+        return out
+
+
+_OPEN = {
+    "gzip": lambda: _Zlib(31), "zlib": lambda: _Zlib(15), "bzip2": bz2.BZ2Decompressor, "xz": lambda: lzma.LZMADecompressor(lzma.FORMAT_XZ, memlimit=256 << 20), "zstd": _Zstd,
+}
+
+
+class Stream:
+    """The content of a compressed stream at the start of ``data``, in pieces; streams of its kind that follow at once belong to it.
+
+    After the last piece ``used`` bytes of the data have been read; ``whole``: the streams came to their ends.
+    """
+
+    def __init__(self, kind: str, data):
+        self.kind, self.data, self.used, self.whole = kind, data, 0, False
+
+    def __iter__(self) -> Iterator[bytes]:
+        rest = self.data
+        while True:
+            stream, feed = _OPEN[self.kind](), rest
+            try:
+                while True:
+                    out = stream.decompress(feed, PIECE)
+                    feed = b""
+                    if out:
+                        yield out
+                    if stream.eof or not out and stream.needs_input:
+                        break
+            except _WRONG:
+                return
+            if not stream.eof:
+                self.used = len(self.data)
+                return
+            self.whole = True
+            rest = stream.unused_data
+            self.used = len(self.data) - len(rest)
+            more = _MAGIC.match(rest)
+            if not more or more.lastgroup != self.kind:
+                return
+
+
 def decompress(data: bytes, limit: int = MAX_LAYER) -> tuple[str, bytes] | None:
     """The name and content of a compressed stream; None for anything else.  Raises Oversized beyond ``limit``."""
-    for magic, kind in _MAGIC.items():
-        if not data.startswith(magic):
-            continue
-        try:
-            if kind == "gzip":
-                out = zlib.decompressobj(31).decompress(data, limit + 1)
-            elif kind == "zlib":
-                out = zlib.decompressobj().decompress(data, limit + 1)
-            elif kind == "bzip2":
-                out = bz2.BZ2Decompressor().decompress(data, limit + 1)
-            elif kind == "xz":
-                out = lzma.LZMADecompressor(lzma.FORMAT_XZ, memlimit=256 << 20).decompress(data, limit + 1)
-            else:
-                out = zstandard.ZstdDecompressor(max_window_size=1 << 27).decompressobj().decompress(data) if zstandard.frame_content_size(data) <= limit else b"\0" * (limit + 1)
-        except (zlib.error, OSError, EOFError, ValueError, lzma.LZMAError, zstandard.ZstdError):
-            return None
-        if len(out) > limit:
-            raise Oversized(kind)
-        return (kind, out) if out else None
-    return None
+    if not (m := _MAGIC.match(data)):
+        return None
+    out = b"".join(_most(Stream(m.lastgroup, data), limit))
+    if len(out) > limit:
+        raise Oversized(m.lastgroup)
+    return (m.lastgroup, out) if out else None
+
+
+def _most(pieces: Iterable[bytes], limit: int) -> Iterator[bytes]:
+    """Pieces, until they have more than ``limit`` bytes."""
+    for piece in pieces:
+        yield piece
+        limit -= len(piece)
+        if limit < 0:
+            return
 
 
 class Layer:
@@ -219,16 +284,18 @@ def _bytes(layer: Layer, kind: str, chars: Sequence[int], data: bytes, group: in
 
 
 def streams(coded: Coded, limit: int, oversized: list) -> Iterator[Coded]:
-    """What these bytes unpack to."""
-    data = coded.data
-    start, end = coded.starts[0], coded.ends[len(data) - 1]
-    try:
-        unpacked = decompress(data, limit)
-    except Oversized:
-        oversized.append((start, end, coded.kinds))
-        return
-    if unpacked:
-        yield Coded(unpacked[1], _At(lambda _: start), _At(lambda _: end), (*coded.kinds, unpacked[0]), coded.rank, True)
+    """What the compressed streams anywhere in these bytes unpack to."""
+    data, at = coded.data, 0
+    while m := _MAGIC.search(data, at):
+        stream = Stream(m.lastgroup, memoryview(data)[m.start() :])
+        out = b"".join(_most(stream, limit))
+        start, end = coded.starts[m.start()], coded.ends[m.start() + stream.used - 1 if stream.used else len(data) - 1]
+        kinds = (*coded.kinds, m.lastgroup)
+        if len(out) > limit:
+            oversized.append((start, end, coded.kinds))
+        elif out:
+            yield Coded(out, _At(lambda _, x=start: x), _At(lambda _, x=end: x), kinds, coded.rank, True)
+        at = m.start() + (stream.used if stream.whole else 1)
 
 
 def children(layer: Layer) -> Iterator[Layer | Coded]:
@@ -239,6 +306,10 @@ def children(layer: Layer) -> Iterator[Layer | Coded]:
     if "\\" in text or "&#" in text:
         for m in _ESCAPED.finditer(text):
             if new := _escapes(layer, *m.span()):
+                data = new.text.encode("latin-1", "replace")
+                if _MAGIC.search(data):
+                    yield Coded(data, new.starts, new.ends, new.kinds, new.rank)
+                    new.rank += 1
                 yield new
     for m in _HEX.finditer(text):
         yield _bytes(layer, "hex", range(*m.span()), bytes.fromhex(m[0]), 1, 2)

@@ -107,3 +107,25 @@ def test_layers_with_binary_content():
         assert [x[5] for x in scan(f"see {WRAPS['base64'](data)} there")] == [KEY]
     text = "see " + WRAPS["base64"](b"\xff\x80\xfe" * 3 + KEY.encode() + b"\0") + " there"
     assert scan(text)[0][1:3] == (16, 44)  # the groups of the key's own bytes
+
+
+PACKERS = {"gzip": gzip.compress, "zlib": zlib.compress, "bzip2": bz2.compress, "xz": lzma.compress, "zstd": zstandard.compress}
+LONG = f"some words first {KEY} and then some more of the words, more of the words".encode()
+
+
+@pytest.mark.parametrize("kind", PACKERS)
+def test_streams_in_bytes_of_any_layer(kind):
+    for wrap in ("url", "unicode", "base64", "hex"):
+        found = scan(f"see {WRAPS[wrap](PACKERS[kind](LONG)) if wrap != 'unicode' else ''.join(f'{chr(92)}x{x:02x}' for x in PACKERS[kind](LONG))} there")
+        assert [(x[4], x[5]) for x in found] == [(f"{wrap}>{kind}", KEY)], (wrap, found)
+
+
+@pytest.mark.parametrize("kind", PACKERS)
+def test_streams_on_end_and_between_bytes(kind):
+    pack = PACKERS[kind]
+    for data in (pack(b"first") + pack(LONG), pack(b"first") + b"\0\1" + pack(LONG), b"head\0" + pack(LONG) + b"tail", pack(LONG[:25]) + pack(LONG[25:]) if kind != "zlib" else pack(LONG)):
+        assert [x[5] for x in scan(f"see {WRAPS['base64'](data)} there")] == [KEY]
+    for other in set(PACKERS) - {kind}:
+        data = PACKERS[other](b"other words") + pack(LONG)
+        assert [x[5] for x in scan(f"see {WRAPS['hex'](data)} there")] == [KEY]
+    assert [x[5] for x in scan(WRAPS["base64"](pack(b"nothing") + f"\n{KEY}".encode()))] == [KEY]
