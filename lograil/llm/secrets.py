@@ -2,7 +2,8 @@
 
 A document's text is the first layer.  Each layer is scanned for secrets and for
 encoded stretches: percent-encoding, backslash or character-reference escapes,
-base64 (both alphabets), hexadecimal, and, anywhere among the bytes that these
+base64 (both alphabets), hexadecimal (each also wrapped to lines, and from each place of its groups
+of characters, since a prefix may be of the same letters), and, anywhere among the bytes that these
 give, gzip, zlib, bzip2, xz and zstandard streams (streams of one kind on end are one).  What a stretch decodes to is a new layer on the worklist, until
 none is left.  Decoded bytes are scanned whatever they are: as UTF-8 in which bytes that
 are not valid stand for Latin-1 characters, and as UTF-16 where stretches of them look like it.
@@ -64,7 +65,12 @@ _URL = re.compile(r"[!-$&-~]*(?:%[0-9A-Fa-f]{2}[!-$&-~]*)+")
 _ESCAPED = re.compile(r"(?:[!-~]*?(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|&#(?:[0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});))+[!-~]*")
 _ONE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|(&#(?:[0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});)")
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
-_HEX = re.compile(r"(?<![0-9A-Za-z])(?:[0-9A-Fa-f]{2}){16,}(?![0-9A-Za-z])")
+_HEX = re.compile(r"(?:[0-9A-Fa-f]{2}){16,}[0-9A-Fa-f]?")
+#: A break between lines, also one that is escaped.
+_BREAK = r"[ \t]*(?:\r?\n|(?:\\r)?\\n)[ \t]*"
+_BASE64_LINES = re.compile(rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{16,}}(?:{_BREAK}[A-Za-z0-9+/_-]{{16,}})*(?:{_BREAK}[A-Za-z0-9+/_-]+)?={{0,2}}")
+_HEX_LINES = re.compile(rf"[0-9A-Fa-f]{{16,}}(?:{_BREAK}[0-9A-Fa-f]{{16,}})*(?:{_BREAK}[0-9A-Fa-f]+)?")
+_LINE = re.compile(_BREAK)
 #: What bytes without a hint must hold to have layers of their own.
 _CODED = re.compile(rb"%[0-9A-Fa-f]{2}|\\[ux]|&#|[A-Za-z0-9+/_-]{16}")
 #: ASCII in UTF-16; a leading zero byte may be the first one's upper half.
@@ -311,15 +317,39 @@ def children(layer: Layer) -> Iterator[Layer | Coded]:
                     yield Coded(data, new.starts, new.ends, new.kinds, new.rank)
                     new.rank += 1
                 yield new
+    lines = "\n" in text or "\\n" in text
     for m in _HEX.finditer(text):
-        yield _bytes(layer, "hex", range(*m.span()), bytes.fromhex(m[0]), 1, 2)
+        yield from _phases(layer, "hex", m[0], range(*m.span()))
+    for m in _HEX_LINES.finditer(text) if lines else ():
+        yield from _joined(layer, "hex", m)
     for m in _BASE64.finditer(text):
-        body = m[0].rstrip("=").replace("-", "+").replace("_", "/")
-        body = body[: len(body) - (len(body) % 4 == 1)]
-        try:
-            yield _bytes(layer, "base64", range(*m.span()), binascii.a2b_base64(body + "=" * (-len(body) % 4)), 3, 4)
-        except binascii.Error:
-            continue
+        yield from _phases(layer, "base64", m[0], range(*m.span()))
+    for m in _BASE64_LINES.finditer(text) if lines else ():
+        yield from _joined(layer, "base64", m)
+
+
+def _phases(layer: Layer, kind: str, body: str, chars: Sequence[int]) -> Iterator[Coded]:
+    """What an encoded stretch gives, from each place of a group on; ``chars``: where its characters are."""
+    if kind == "hex":
+        for first in (0, 1):
+            yield _bytes(layer, kind, chars[first:], bytes.fromhex(body[first : len(body) - (len(body) - first) % 2]), 1, 2)
+        return
+    body = body.rstrip("=").replace("-", "+").replace("_", "/")
+    for first in range(4):
+        part = body[first : len(body) - ((len(body) - first) % 4 == 1)]
+        yield _bytes(layer, kind, chars[first:], binascii.a2b_base64(part + "=" * (-len(part) % 4)), 3, 4)
+
+
+def _joined(layer: Layer, kind: str, m: re.Match) -> Iterator[Coded]:
+    """What neighbouring lines give as one stretch."""
+    parts, chars, at = [], [], m.start()
+    for gap in _LINE.finditer(layer.text, *m.span()):
+        parts.append(layer.text[at : gap.start()])
+        chars += range(at, gap.start())
+        at = gap.end()
+    if parts:
+        parts.append(layer.text[at : m.end()])
+        yield from _phases(layer, kind, "".join(parts), [*chars, *range(at, m.end())])
 
 
 def once(found: list[tuple]) -> list[tuple]:

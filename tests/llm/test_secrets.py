@@ -129,3 +129,36 @@ def test_streams_on_end_and_between_bytes(kind):
         data = PACKERS[other](b"other words") + pack(LONG)
         assert [x[5] for x in scan(f"see {WRAPS['hex'](data)} there")] == [KEY]
     assert [x[5] for x in scan(WRAPS["base64"](pack(b"nothing") + f"\n{KEY}".encode()))] == [KEY]
+
+
+def wrapped(text, width, gap="\n"):
+    return gap.join(text[i : i + width] for i in range(0, len(text), width))
+
+
+@pytest.mark.parametrize("gap", ["\n", "\r\n", "\n    ", "\\n"])
+def test_wrapped_lines(gap):
+    rng = random.Random(3)
+    for name in ("base64", "hex", "base64>gzip", "hex>zstd"):
+        for width in (60, 64, 76):
+            body = bytes(rng.choices(b"abcdefgh ij", k=rng.randrange(20, 200))) + f" {KEY} ".encode() + bytes(rng.choices(b"abcdefgh ij", k=90))
+            coded = wrapped(WRAPS[name](body), width, gap)
+            text = f"see\n{coded}\nthere {KEY[:8]}"
+            found = scan(text)
+            assert [(x[4], x[5]) for x in found] == [(name, KEY)], (name, width, found)
+            assert 4 <= found[0][1] < found[0][2] <= 4 + len(coded) + 6
+    key = f"x {KEY} y".encode()
+    text = wrapped(WRAPS["hex"](b"word " * 3 + key), 32)
+    a, b = scan(text)[0][1:3]
+    assert text[a:b].replace("\n", "") == KEY.encode().hex()
+
+
+@pytest.mark.parametrize("before", ["https://host/d/", "id-", "id_", "a/b/c/", "x", "xy", "xyz"])
+def test_prefixes_of_the_same_alphabet(before):
+    for data in (f"see {KEY} now".encode(), gzip.compress(f"see {KEY} now".encode())):
+        for wrap in ("base64", "hex"):
+            text = before + WRAPS[wrap](data)
+            found = scan(text)
+            assert [x[5] for x in found] == [KEY], (wrap, found)
+            assert len(before) <= found[0][1] < found[0][2] <= len(text)
+    for sep in "/-_":  # nothing before the key but the separator
+        assert [x[5] for x in scan("host" + sep + WRAPS["base64"](KEY.encode()) + sep + "end")] == [KEY]
