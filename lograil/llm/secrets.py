@@ -18,7 +18,9 @@ ignored.  Where patterns overlap the earlier start wins, then the pattern listed
 first.  The same secret at the same place is reported once, at its least depth; places are the
 same where they share more than half of the shorter one.
 A decompressed layer of more than ``max_layer`` bytes is reported as a finding of
-kind 'oversized_layer' and not unpacked further.  Texts are scanned whole.  An empty
+kind 'oversized_layer', unpacked once more and scanned in windows that overlap by a quarter.
+What starts in one window's part is looked for with an eighth of a window around it at least;
+a secret or encoded stretch in such a layer that is longer than that (4 MB) may be cut at a window's end.  Texts are scanned whole.  An empty
 table gives no rows.  Secrets themselves are not returned: ``preview`` has the first
 four characters, ``sha256`` the hash.
 """
@@ -32,9 +34,11 @@ import html
 import lzma
 import re
 import zlib
+from array import array
+from bisect import bisect_left
 from collections import deque
 from collections.abc import Callable, Iterable, Iterator, Sequence
-from itertools import accumulate
+from itertools import accumulate, islice
 from urllib.parse import unquote_to_bytes
 
 import pyarrow as pa
@@ -45,7 +49,7 @@ from pyspark.sql import functions as F
 from .exchange import batches
 from .memory import task
 
-MAX_LAYER = 64 << 20
+MAX_LAYER, WINDOW = 64 << 20, 32 << 20
 
 PATTERNS = {
     "private_key": r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----",
@@ -175,10 +179,14 @@ def _most(pieces: Iterable[bytes], limit: int) -> Iterator[bytes]:
 class Layer:
     """Text, and for each character the span of the document it comes from; ``rank`` above 0 if it is the packed form of other layers."""
 
-    __slots__ = ("text", "starts", "ends", "kinds", "rank")
+    __slots__ = ("text", "starts", "ends", "kinds", "rank", "part")
 
     def __init__(self, text: str, starts, ends, kinds: tuple[str, ...] = (), rank: int = 0):
-        self.text, self.starts, self.ends, self.kinds, self.rank = text, starts, ends, kinds, rank
+        self.text, self.starts, self.ends, self.kinds, self.rank, self.part = text, starts, ends, kinds, rank, range(len(text))
+
+    def matches(self, pattern: re.Pattern) -> Iterator[re.Match]:
+        """Those that start in this layer's part."""
+        return (m for m in pattern.finditer(self.text) if m.start() in self.part)
 
     def span(self, a: int, b: int) -> tuple[int, int]:
         return self.starts[a], self.ends[b - 1]
@@ -200,17 +208,22 @@ class _At:
 
 
 class Coded:
-    """Bytes, and for each the span of the document it comes from; ``fixed`` if they all have the same."""
+    """Bytes, and for each the span of the document it comes from; ``fixed`` if they all have the same; ``part``: those that are not another window's."""
 
-    __slots__ = ("data", "starts", "ends", "kinds", "rank", "fixed")
+    __slots__ = ("data", "starts", "ends", "kinds", "rank", "fixed", "part")
 
     def __init__(self, data: bytes, starts, ends, kinds: tuple[str, ...], rank: int, fixed: bool = False):
         self.data, self.starts, self.ends, self.kinds, self.rank, self.fixed = data, starts, ends, kinds, rank, fixed
+        self.part = range(len(data))
 
     def view(self, text: str, sizes: Iterator[int] | None, first: int = 0) -> Layer:
         """A layer of ``text``, whose characters have ``sizes`` bytes (None: one each) from ``first`` on."""
         if self.fixed:
-            return Layer(text, self.starts, self.ends, self.kinds, self.rank)
+            layer = Layer(text, self.starts, self.ends, self.kinds, self.rank)
+            if len(self.part) < len(self.data):
+                at = range(first, first + len(text)) if sizes is None else array("q", islice(accumulate(sizes, initial=first), len(text)))
+                layer.part = range(bisect_left(at, self.part.start), bisect_left(at, self.part.stop))
+            return layer
         at = range(first, first + len(text) + 1) if sizes is None else list(accumulate(sizes, initial=first))
         return Layer(text, _At(lambda i: self.starts[at[i]]), _At(lambda i: self.ends[at[i + 1] - 1]), self.kinds, self.rank)
 
@@ -289,28 +302,53 @@ def _bytes(layer: Layer, kind: str, chars: Sequence[int], data: bytes, group: in
     return Coded(data, starts, ends, (*layer.kinds, kind), layer.rank)
 
 
-def streams(coded: Coded, limit: int, oversized: list) -> Iterator[Coded]:
-    """What the compressed streams anywhere in these bytes unpack to."""
-    data, at = coded.data, 0
-    while m := _MAGIC.search(data, at):
-        stream = Stream(m.lastgroup, memoryview(data)[m.start() :])
-        out = b"".join(_most(stream, limit))
+def streams(coded: Coded, limit: int, oversized: list, later: list) -> Iterator[Coded]:
+    """What the compressed streams anywhere in these bytes unpack to; ``later`` gets the windows of those beyond ``limit``."""
+    data, at = coded.data, coded.part.start
+    while (m := _MAGIC.search(data, at)) and m.start() in coded.part:
+        rest = memoryview(data)[m.start() :]
+        stream = Stream(m.lastgroup, rest)
+        pieces = iter(stream)
+        out = b"".join(_most(pieces, limit))
+        for _ in pieces if len(out) > limit else ():
+            pass  # to its end, for the place
         start, end = coded.starts[m.start()], coded.ends[m.start() + stream.used - 1 if stream.used else len(data) - 1]
-        kinds = (*coded.kinds, m.lastgroup)
+        new = Coded(out, _At(lambda _, x=start: x), _At(lambda _, x=end: x), (*coded.kinds, m.lastgroup), coded.rank, True)
         if len(out) > limit:
             oversized.append((start, end, coded.kinds))
+            later.append(windows(new, Stream(m.lastgroup, rest), min(limit, WINDOW)))
+            new.data = b""
         elif out:
-            yield Coded(out, _At(lambda _, x=start: x), _At(lambda _, x=end: x), kinds, coded.rank, True)
+            yield new
         at = m.start() + (stream.used if stream.whole else 1)
 
 
+def windows(like: Coded, pieces: Iterable[bytes], size: int) -> Iterator[Coded]:
+    """Overlapping windows of the content, each with the part that is its own."""
+    margin = size // 8
+    held, lo = bytearray(), 0
+
+    def window(data: bytes, part: range) -> Coded:
+        new = Coded(data, like.starts, like.ends, like.kinds, like.rank, True)
+        new.part = part
+        return new
+
+    for piece in pieces:
+        held += piece
+        while len(held) > size:
+            yield window(bytes(held[:size]), range(lo, size - margin))
+            del held[: size - 2 * margin]
+            lo = margin
+    yield window(bytes(held), range(lo, len(held)))
+
+
 def children(layer: Layer) -> Iterator[Layer | Coded]:
     text = layer.text
     if "%" in text:
-        for m in _URL.finditer(text):
+        for m in layer.matches(_URL):
             yield _url(layer, *m.span())
     if "\\" in text or "&#" in text:
-        for m in _ESCAPED.finditer(text):
+        for m in layer.matches(_ESCAPED):
             if new := _escapes(layer, *m.span()):
                 data = new.text.encode("latin-1", "replace")
                 if _MAGIC.search(data):
@@ -318,13 +356,13 @@ def children(layer: Layer) -> Iterator[Layer | Coded]:
                     new.rank += 1
                 yield new
     lines = "\n" in text or "\\n" in text
-    for m in _HEX.finditer(text):
+    for m in layer.matches(_HEX):
         yield from _phases(layer, "hex", m[0], range(*m.span()))
-    for m in _HEX_LINES.finditer(text) if lines else ():
+    for m in layer.matches(_HEX_LINES) if lines else ():
         yield from _joined(layer, "hex", m)
-    for m in _BASE64.finditer(text):
+    for m in layer.matches(_BASE64):
         yield from _phases(layer, "base64", m[0], range(*m.span()))
-    for m in _BASE64_LINES.finditer(text) if lines else ():
+    for m in layer.matches(_BASE64_LINES) if lines else ():
         yield from _joined(layer, "base64", m)
 
 
@@ -368,25 +406,32 @@ def scan(text: str, limit: int = MAX_LAYER) -> list[tuple[str, int, int, int, st
     seen: dict[tuple, int] = {}  # the least rank of each
     best: dict[tuple, tuple] = {}
     oversized: list = []
-    while work:
+    later: list[Iterator[Coded]] = []
+    while work or later:
+        if not work:  # one window at a time
+            if window := next(later[-1], None):
+                work.append(window)
+            else:
+                later.pop()
+            continue
         layer = work.popleft()
         if isinstance(layer, Coded):
-            mark = (layer.starts[0], layer.ends[len(layer.data) - 1], hashlib.sha256(layer.data).digest())
+            mark = (layer.starts[0], layer.ends[len(layer.data) - 1], hashlib.sha256(layer.data).digest(), layer.part)
             if layer.rank < seen.get(mark, layer.rank + 1):
                 seen[mark] = layer.rank
-                unpacked = list(streams(layer, limit, oversized))
+                unpacked = list(streams(layer, limit, oversized, later))
                 layer.rank += bool(unpacked)
                 work.extend(new for new in views(layer) if new.text)
                 work.extend(unpacked)
             continue
         if layer.kinds:
-            mark = (layer.starts[0], layer.ends[len(layer.text) - 1], hashlib.sha256(layer.text.encode("utf-8", "surrogatepass")).digest(), "")
+            mark = (layer.starts[0], layer.ends[len(layer.text) - 1], hashlib.sha256(layer.text.encode("utf-8", "surrogatepass")).digest(), "", layer.part)
             if layer.rank >= seen.get(mark, layer.rank + 1):
                 continue
             seen[mark] = layer.rank
         low = layer.text.lower()
         if any(h in low for h in _HINTS):
-            for m in _SECRET.finditer(layer.text):
+            for m in layer.matches(_SECRET):
                 start, end = layer.span(*m.span())
                 key = (m.lastgroup, start, end, m[0])
                 if key not in best or (best[key][6], best[key][3]) > (layer.rank, len(layer.kinds)):

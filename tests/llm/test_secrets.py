@@ -162,3 +162,20 @@ def test_prefixes_of_the_same_alphabet(before):
             assert len(before) <= found[0][1] < found[0][2] <= len(text)
     for sep in "/-_":  # nothing before the key but the separator
         assert [x[5] for x in scan("host" + sep + WRAPS["base64"](KEY.encode()) + sep + "end")] == [KEY]
+
+
+@pytest.mark.parametrize("code", ["utf-8", "utf-16-le", "latin-1"])
+@pytest.mark.parametrize("kind", PACKERS)
+def test_oversized_layers_are_scanned_in_windows(kind, code):
+    rng = random.Random(5)
+    body, want = [], {}
+    for i in range(400):
+        key = "AKIA" + "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", k=16))
+        way = ("plain", "base64", "base64>gzip")[i % 3]
+        body += ["".join(rng.choices("abcdefgh é", k=rng.randrange(1, 300))), key if way == "plain" else WRAPS[way](f"x {key} y".encode())]
+        want[key] = f"base64>{kind}" + ("" if way == "plain" else ">" + way)
+    text = WRAPS["base64"](PACKERS[kind]((" ".join(body) + " end").encode(code)))
+    found = scan("see " + text, limit=5000)
+    assert [x[0] for x in found].count("oversized_layer") == 1
+    got = [(x[5], x[4]) for x in found if x[0] == "aws_access_key"]
+    assert sorted(got) == sorted(want.items()) and {x[1:3] for x in found} == {(4, 4 + len(text))}
