@@ -197,9 +197,9 @@ def _alike(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 def compare(path: np.ndarray, doc: np.ndarray, sketch: np.ndarray, threshold: float, node: int) -> tuple[list[tuple[int, int]], np.ndarray, np.ndarray]:
     """Links of candidate pairs, and the (doc, path) entries of large nodes that branch on."""
-    order = np.lexsort((doc, path))
+    order = np.lexsort((*sketch.T, doc, path))
     path, doc, sketch = path[order], doc[order], sketch[order]
-    new, _ = runs(path, doc)  # rows that repeat a doc_id are one document
+    new, _ = runs(path, doc, *sketch.T)  # a document has each of its texts here
     path, doc, sketch = path[new], doc[new], sketch[new]
     start, end = runs(path)
     size = np.repeat(end - start, end - start)
@@ -231,7 +231,10 @@ def compare(path: np.ndarray, doc: np.ndarray, sketch: np.ndarray, threshold: fl
         on_doc.append(doc[members[~dense]])
         on_path.append(path[members[~dense]])
     empty = np.zeros(0, np.int64)
-    return found.links, np.concatenate([empty, *on_doc]), np.concatenate([empty.view(U64), *on_path])
+    on_doc, on_path = np.concatenate([empty, *on_doc]), np.concatenate([empty.view(U64), *on_path])
+    order = np.lexsort((on_doc, on_path))
+    new, _ = runs(on_path[order], on_doc[order])
+    return found.links, on_doc[order][new], on_path[order][new]
 
 
 def _meet(threshold: float, node: int):

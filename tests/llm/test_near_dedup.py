@@ -74,3 +74,17 @@ def test_similar_documents_share_paths():
     for i in range(n):
         hits += bool(set(pa[da == i].tolist()) & set(pb[db == i].tolist()))
     assert hits >= 0.97 * n
+
+
+@pytest.mark.parametrize("others, options", [(0, {}), (1500, {}), (60, {"node": 8})])
+def test_each_text_of_a_document_has_its_near_copies(spark, others, options):
+    rng = random.Random(8)
+    vocabulary = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(500)]
+    docs = [(10_000 + i, " ".join(rng.choices(vocabulary, k=40))) for i in range(others)]
+    want = set()
+    for i in range(20):
+        first, second = (rng.choices(vocabulary, k=80) for _ in range(2))
+        docs += [(100 + i, " ".join(first)), (100 + i, " ".join(second)), (200 + i, " ".join([*first, "tail"])), (300 + i, " ".join([*second, "tail"]))]
+        want |= {(200 + i, 100 + i), (300 + i, 100 + i)}
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {tuple(r) for r in near_dedup.near_groups(df, **options).where("doc_id <> keep_doc_id").collect()} == want
