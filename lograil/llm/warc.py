@@ -17,7 +17,9 @@ Defined results.  A record without content has one chunk of no bytes.  A file cu
 short ends with a chunk whose ``length_ok`` is false.  A file that is empty or
 whose first line is no WARC version gives no rows; where that happens between
 records the rest of the file is skipped, with a row of record_id null and the file's
-remaining offset.  Records without a digest have ``digest_ok`` null; so have digests
+remaining offset.  Damage in a gzip member ends its record (``length_ok`` false where its
+bytes are missing); a row of record_id null follows, and reading goes on at the next
+member that starts with a record.  Header lines are read whole.  Records without a digest have ``digest_ok`` null; so have digests
 other than sha1 and md5.  Repeated rows are records of their own.  ``write_warc``
 skips rows without content (null) and writes null ids and URIs as missing headers.
 An empty table gives no files and no rows.  Extra columns are ignored.
@@ -27,6 +29,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import sys
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -59,32 +62,68 @@ class Reader:
         self.zipped = self.raw[:2] == b"\x1f\x8b"
         self.unzip = zlib.decompressobj(31) if self.zipped else None
         self.offset = 0
+        self.taken, self.member = len(self.raw), 0  # bytes read from the stream, and where the open member starts
+        self.fresh, self.broken = True, False
 
     def _more(self) -> bool:
         """Appends bytes to the buffer; false at the end."""
-        while True:
-            if not self.raw:
-                self.raw = self.stream.read(self.size)
-            if not self.raw:
+        while not self.broken:
+            if not self.raw and not self._fill():
                 return False
+            if self.zipped and self.fresh:  # zeros may fill up members
+                self.raw = self.raw.lstrip(b"\0")
+                self.member, self.fresh = self.taken - len(self.raw), not self.raw
+                if self.fresh:
+                    continue
             if not self.zipped:
                 new, self.raw = self.raw, b""
             else:
                 try:
                     new = self.unzip.decompress(self.raw, self.size)
                 except zlib.error:
-                    self.raw = b""
-                    self.stream.seek(0, 2) if self.stream.seekable() else None
+                    self.broken = True
                     return False
                 if self.unzip.eof:
-                    self.raw, self.unzip = self.unzip.unused_data, zlib.decompressobj(31)
-                    self.raw = self.raw.lstrip(b"\0")
+                    self.raw, self.unzip, self.fresh = self.unzip.unused_data, zlib.decompressobj(31), True
                 else:
                     self.raw = self.unzip.unconsumed_tail
             if new:
                 self.held = self.held[self.at :] + new
                 self.at = 0
                 return True
+        return False
+
+    def _fill(self) -> bool:
+        new = self.stream.read(self.size)
+        self.taken += len(new)
+        self.raw += new
+        return bool(new)
+
+    def resume(self) -> bool:
+        """After damage: goes on at the next gzip member that starts with a record; false if there is none."""
+        self.held, self.at = b"", 0
+        if self.stream.seekable():  # a damaged member may have been read beyond its end
+            self.stream.seek(self.member + 1)
+            self.raw, self.taken = b"", self.member + 1
+        else:
+            self.raw = self.raw[1:]
+        while True:
+            at = self.raw.find(b"\x1f\x8b\x08")
+            if at >= 0:
+                self.raw = self.raw[at:]
+                while len(self.raw) < self.size and self._fill():
+                    pass
+                try:
+                    if zlib.decompressobj(31).decompress(self.raw, 5) == b"WARC/":
+                        self.unzip, self.fresh, self.broken = zlib.decompressobj(31), True, False
+                        return True
+                except zlib.error:
+                    pass
+                self.raw = self.raw[1:]
+                continue
+            self.raw = self.raw[-2:]
+            if not self._fill():
+                return False
 
     def read(self, n: int) -> bytes:
         while len(self.held) - self.at < n and self._more():
@@ -96,7 +135,8 @@ class Reader:
 
     def line(self, limit: int = 1 << 16) -> bytes:
         """Up to and with the next line feed, at most ``limit`` bytes."""
-        while (end := self.held.find(b"\n", self.at, self.at + limit)) < 0 and len(self.held) - self.at < limit and self._more():
+        seen = 0
+        while (end := self.held.find(b"\n", self.at + seen, self.at + limit)) < 0 and (seen := len(self.held) - self.at) < limit and self._more():
             pass
         return self.read(end + 1 - self.at if end >= 0 else limit)
 
@@ -121,6 +161,11 @@ def records(stream, file: str, chunk: int = CHUNK) -> Iterator[dict]:
         line = reader.line()
         while line in (b"\r\n", b"\n"):
             line = reader.line()
+        if reader.broken and not line.startswith(b"WARC/"):
+            yield dict.fromkeys(_ARROW.names) | {"file": file, "start": reader.offset - len(line)}
+            if not reader.resume():
+                return
+            continue
         if not line:
             return
         if not line.startswith(b"WARC/"):
@@ -129,13 +174,14 @@ def records(stream, file: str, chunk: int = CHUNK) -> Iterator[dict]:
             return
         first = False
         headers: dict[str, str] = {}
-        while (line := reader.line()).strip():
+        while (line := reader.line(sys.maxsize)).strip():
             name, _, value = line.decode("utf-8", "replace").partition(":")
             headers[name.strip().lower()] = value.strip()
         try:
             length = max(0, int(headers.get("content-length", "0")))
         except ValueError:
             length = 0
+        torn = not line  # the headers have no end
         sha1, declared = hashlib.sha1(), _digest(headers.get("warc-block-digest"))
         number = start = 0
         while True:
@@ -144,7 +190,7 @@ def records(stream, file: str, chunk: int = CHUNK) -> Iterator[dict]:
             if declared:
                 declared[0].update(data)
             start += len(data)
-            short = start < length and (len(data) < chunk)
+            short = torn or start < length and (len(data) < chunk)
             last = short or start >= length
             yield {
                 "file": file, "record_id": headers.get("warc-record-id"), "warc_type": headers.get("warc-type"), "target_uri": headers.get("warc-target-uri"), "content_length": length,

@@ -80,3 +80,32 @@ def test_query_over_all_pages(spark, tiny):
     pages = {f"<urn:page:{r.page_id}>": r.html.encode() for r in spark.read.parquet(f"{tiny}/pages.parquet").collect()}
     rows = warc.op9_warc(spark, tiny).where("last").collect()
     assert {r.record_id: r.sha1_so_far for r in rows} == {k: hashlib.sha1(v).hexdigest() for k, v in pages.items()} and all(r.digest_ok for r in rows)
+
+
+@pytest.mark.parametrize("seekable", [True, False])
+@pytest.mark.parametrize("at", [3, 14, 25, 9000, -6])
+def test_records_after_a_damaged_member(at, seekable):
+    rng = random.Random(4)
+    blocks = [rng.randbytes(20_000) for _ in range(5)]
+    members = [gzip.compress(record(b, str(i))) for i, b in enumerate(blocks)]
+    hurt = bytearray(members[2])
+    hurt[at : at + 4] = b"\xff\xff\xff\xff"
+    hurt[10:11] = b"\x07" if at == 14 else hurt[10:11]  # no such kind of block
+    stream = io.BytesIO(b"".join([*members[:2], bytes(hurt), *members[3:]]))
+    stream.seekable = lambda: seekable
+    rows = list(warc.records(stream, "f", 1 << 20)) if seekable else list(warc.records(Pipe(stream.getvalue()), "f", 1 << 20))
+    sound = {r["record_id"]: r["chunk"] for r in rows if r["length_ok"]}
+    assert all(sound[f"<urn:{i}>"] == blocks[i] for i in (0, 1, 3, 4))
+    assert sum(r["record_id"] is None and r["chunk"] is None for r in rows) == 1
+
+
+class Pipe(io.BytesIO):
+    def seekable(self):
+        return False
+
+
+def test_long_header_lines_are_whole():
+    uri = "http://x/" + "y" * 300_000
+    data = record(b"body").replace(b"http://x/a", uri.encode())
+    for packed in (data, gzip.compress(data)):
+        assert [(r["target_uri"], r["chunk"]) for r in read(packed)] == [(uri, b"body")]
