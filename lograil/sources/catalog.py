@@ -75,7 +75,7 @@ def bitflags_table(symbols: DataFrame, prefix: str) -> DataFrame:
 
 
 def load(table: DataFrame, flags: DataFrame | None = None, encoding: str = "rzcobs", version: str = "4", timestamp: str | None = None) -> Catalog:
-    """The driver's catalog of a format table; at most 65,536 rows are taken in, as many as indices exist."""
+    """The driver's catalog of a format table; at most 65,536 rows of either table are taken in, as many as indices exist, and more raise."""
     check_version(version)
     rows = table.select("idx", "tag", "level", "format").limit((1 << 16) + 2).collect()
     stamps = [r for r in rows if r.tag == "timestamp"]
@@ -89,7 +89,10 @@ def load(table: DataFrame, flags: DataFrame | None = None, encoding: str = "rzco
             raise CatalogError(f"index {r.idx} repeats or is out of range")
         entries[r.idx] = Entry(r.tag, r.format, r.level)
     known = {}
-    for r in flags.limit(1 << 16).collect() if flags is not None else []:
+    kinds = flags.limit((1 << 16) + 1).collect() if flags is not None else []
+    if len(kinds) > 1 << 16:
+        raise CatalogError("more than 65,536 kinds of bit flags")
+    for r in kinds:
         key = (r.ident, r.package, r.disambig) + ((r.crate_name,) if r.crate_name is not None else ())
         known[key] = [(f["name"], int.from_bytes(f["value"], "little")) for f in r.flags]
     return Catalog(entries, stamps[0].format if stamps else timestamp, encoding, version, known)

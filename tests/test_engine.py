@@ -180,3 +180,11 @@ def test_entry_without_the_llm_folder(tmp_path):
     subprocess.run(["rm", "-rf", str(tmp_path / "lograil/llm")], check=True)
     code = "import __spark_entry__ as e; assert e.queries() and set(e.oracle_sql()) <= set(e.queries()) and not any(n.startswith('op') for n in e.queries())"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True)
+
+
+def test_more_bit_flags_than_are_taken_in_raise(spark):
+    table = spark.createDataFrame([(1, "info", 2, "x", None)], catalog.FORMAT_TABLE)
+    flags = spark.range((1 << 16) + 1).selectExpr("cast(id as string) ident", "'p' package", "'1' disambig", "cast(null as string) crate_name", "array(named_struct('pos', 0, 'name', 'A', 'value', X'01')) flags")
+    with pytest.raises(catalog.CatalogError):
+        catalog.load(table, flags)
+    assert len(catalog.load(table, flags.where("ident <> '0'")).bitflags) == 1 << 16
