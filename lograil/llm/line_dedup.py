@@ -6,12 +6,13 @@ Jaccard similarity of their sets of ``SHINGLE`` character shingles is at least
 (doc_id, line number), stays and the rest go.
 
 1. One scan hashes each line, makes its character-shingle signature and sends
-   (band, line hash) and (line hash, first place, count) over packed exchanges;
-   repeats inside a batch are sent once.
-2. Lines that share a band form buckets; equal buckets of several bands count
-   once.  Only lines of buckets fetch their text; each bucket is verified by
-   exact Jaccard, skipping pairs that verified pairs already connect.  No bucket
-   is capped: n lines of one component cost about n comparisons.
+   (band, line hash) and (line hash, place, count) over packed exchanges; a line that
+   a batch repeats is sent once by its hash, and its other places are spread evenly.
+2. Lines that share a band form buckets; the buckets of one least line are one group,
+   and groups of more than ``chunk`` lines are dealt into pairs of chunks.  Only lines of
+   groups fetch their text, once each, from documents that a bitmap lets through.
+   Each group is verified by exact Jaccard, skipping pairs that verified pairs already
+   connect and pairs that bitmaps of the shingles exclude.  No group is capped.
 3. Distributed union-find over the verified pairs, then every place of a line
    whose component has another place joins its component's keeper.
 
@@ -22,7 +23,8 @@ different lines about n^2/2^65 pairs are taken as equal).
 Defined results.  Blank lines (white space alone) take no part and stay.  A line
 shorter than a shingle has itself as its only shingle.  Null texts have no lines.
 Rows with null doc_id take no part.  Rows that share doc_id and text are one
-document; rows that share only doc_id are judged each by its own text.  Ties go to the least (doc_id, line number).  An empty table gives no
+document; rows that share only doc_id are judged each by its own text.
+Ties go to the least (doc_id, line number).  An empty table gives no
 rows.  Extra columns are ignored, whatever their names.  Very long lines are
 compared whole.
 """
@@ -36,13 +38,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import UnionFind, components
+from .components import components
 from .exchange import SCHEMA, Packer, batches, part_by, parts_of, runs, unpack
+from .idfilter import maybe_in
 from .memory import task
+from .names import column, unused
 from .storage import Tables, cut
 from .text import PrefixHash, codepoints, minhash, mix, shingles32
+from .verify import Sets, dealt, verified
 
-SHINGLE, BANDS, ROWS, THRESHOLD, SEED = 6, 16, 6, 0.8, 20_251
+SHINGLE, BANDS, ROWS, THRESHOLD, CHUNK, SEED = 6, 16, 6, 0.8, 1000, 20_251
 U64 = np.uint64
 _SPACE = np.zeros(0x110000, dtype=bool)
 _SPACE[[c for c in range(0x3001) if chr(c).isspace()]] = True
@@ -53,6 +58,7 @@ class Lines:
 
     def __init__(self, texts: list[str | None]):
         self.cps, offsets = codepoints(texts)
+        self.offsets = offsets
         n = len(self.cps)
         breaks = np.flatnonzero(self.cps == 10)
         rows = np.flatnonzero(np.diff(offsets) > 0)
@@ -90,164 +96,137 @@ def _bands(signatures: np.ndarray) -> np.ndarray:
     return h
 
 
-BAND, PLACE = ["<u8", "<u8"], ["<u8", "<i8", "<i4", "<i8"]
+BAND, PLACE = ["<u8", "<u8"], ["<u8", "<i8", "<i4", "<i8", "<i8"]
+MET = "kind int, h long, member long, doc_id long, line_no int, text_hash long, places long, first boolean"
+_MET = pa.schema([("kind", pa.int32()), ("h", pa.int64()), ("member", pa.int64()), ("doc_id", pa.int64()), ("line_no", pa.int32()), ("text_hash", pa.int64()), ("places", pa.int64()), ("first", pa.bool_())])
 
 
 def _scan(parts: int):
+    """Blocks B: (band, line); P: (line, first place in the batch, places in the batch); R: the batch's other places."""
+
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands, places = Packer(BAND, b"B"), Packer(PLACE, b"P")
+        bands, places, others = Packer(BAND, b"B"), Packer(PLACE, b"P"), Packer(PLACE, b"R")
         for batch, texts in batches(it):
             lines = Lines(texts)
             if not len(lines.hashes):
                 continue
             doc = np.asarray(batch.column(0).to_numpy(zero_copy_only=False), dtype=np.int64)[lines.row]
+            text = batch.column(2).to_numpy()[lines.row]
             order = np.lexsort((lines.number, doc, lines.hashes))
             start, end = runs(lines.hashes[order])
             first = order[start]
             h = lines.hashes[first]
-            yield from places.add(part_by(h, parts), h, doc[first], lines.number[first], end - start)
+            yield from places.add(part_by(h, parts), h, doc[first], lines.number[first], text[first], end - start)
+            again = np.ones(len(order), bool)
+            again[start] = False
+            k = order[again]
+            spread = mix(mix(doc[k].view(U64)) ^ lines.number[k].astype(U64))  # not by line: one may be a third of all
+            yield from others.add(part_by(spread, parts), lines.hashes[k], doc[k], lines.number[k], text[k], np.ones(len(k), np.int64))
             which = np.sort(first)
             b = _bands(lines.signatures(which)).ravel()
             yield from bands.add(part_by(b, parts), b, np.repeat(lines.hashes[which], BANDS))
-        yield from bands.flush()
-        yield from places.flush()
+        for pack in (bands, places, others):
+            yield from pack.flush()
 
     return run
 
 
-def _meet(bands: list[np.ndarray], places: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    def out(kind, h, doc, line, count, members):
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.full(len(h), kind, np.int32)), pa.array(h.view(np.int64)), pa.array(doc), pa.array(line), pa.array(count), pa.array(members, pa.list_(pa.int64()))],
-            names=["kind", "h", "doc_id", "line_no", "places", "members"],
-        )
+def _rows(kind: int, n: int, **columns: np.ndarray) -> pa.RecordBatch:
+    columns["kind"] = np.full(n, kind, np.int32)
+    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in _MET], schema=_MET)
+
 
+def _meet(bands: list[np.ndarray], places: list[np.ndarray], others: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """kind 0: places by line; 1: members of a bucket, under its least one; 2: other places."""
     band, h = bands
     order = np.lexsort((h, band))
     band, h = band[order], h[order]
     new, _ = runs(band, h)
     band, h = band[new], h[new]
     start, end = runs(band)
-    many = np.flatnonzero(end - start > 1)
-    if len(many):
-        members = [np.sort(h[start[i] : end[i]].view(np.int64)) for i in many]
-        zero = np.zeros(len(many), np.int64)
-        yield out(1, zero.view(np.uint64), zero, zero.astype(np.int32), zero, members)
-    h, doc, line, count = places
-    order = np.lexsort((line, doc, h))
-    h, doc, line, count = h[order], doc[order], line[order], count[order]
-    start, _ = runs(h)
-    if len(h):
-        total = np.add.reduceat(count, start)
-        yield out(0, h[start], doc[start], line[start], total, [None] * len(start))
+    size = end - start
+    least, h = np.repeat(h[start], size)[np.repeat(size > 1, size)], h[np.repeat(size > 1, size)]
+    order = np.lexsort((h, least))
+    new, _ = runs(least[order], h[order])  # buckets of several bands
+    least, h = least[order][new], h[order][new]
+    for lo in range(0, len(h), 1 << 18):
+        k = slice(lo, lo + (1 << 18))
+        yield _rows(1, len(h[k]), h=least[k].view(np.int64), member=h[k].view(np.int64))
+    for kind, (h, doc, line, text, count) in ((0, places), (2, others)):
+        order = np.lexsort((line, doc, h))
+        h, doc, line, text, count = h[order], doc[order], line[order], text[order], count[order]
+        start, end = runs(h)
+        total = np.repeat(np.add.reduceat(count, start), end - start) if len(h) else count
+        first = np.zeros(len(h), bool)
+        first[start] = kind == 0
+        for lo in range(0, len(h), 1 << 18):
+            k = slice(lo, lo + (1 << 18))
+            yield _rows(kind, len(h[k]), h=h[k].view(np.int64), doc_id=doc[k], line_no=line[k], text_hash=text[k], places=total[k], first=first[k])
 
 
 def _reduce(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     blocks = [x for batch in it for x in batch.column(1).to_pylist()]
     if blocks:
-        yield from _meet(unpack((x[1:] for x in blocks if x[:1] == b"B"), BAND), unpack((x[1:] for x in blocks if x[:1] == b"P"), PLACE))
-
-
-def jaccard(a: np.ndarray, b: np.ndarray) -> float:
-    """Of two sorted arrays without repeats."""
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both / (len(a) + len(b) - both)
-
-
-def shingle_set(line: str) -> np.ndarray:
-    """Sorted 64 bit hashes of a line's character shingles."""
-    cps, _ = codepoints([line])
-    if len(cps) <= SHINGLE:
-        return PrefixHash(cps).span(np.array([0]), np.array([len(cps)]))
-    at = np.arange(len(cps) - SHINGLE + 1)
-    return np.unique(PrefixHash(cps).span(at, at + SHINGLE))
-
-
-def verify(names: list, sets: list[np.ndarray], threshold: float) -> list[tuple]:
-    """Links of the components that all pairs of Jaccard >= threshold form.
-
-    A set is compared with the members of each component until one is alike, so n
-    sets of one component cost about n comparisons.
-    """
-    found: list[tuple] = []
-    groups: list[list[int]] = []  # components, members by rising size
-    order = sorted(range(len(names)), key=lambda i: (len(sets[i]), names[i]))
-    for place, i in enumerate(order):
-        joined, apart = [], []
-        for group in groups:
-            for x in reversed(group):
-                if len(sets[order[x]]) < threshold * len(sets[i]):  # and all before it are smaller still
-                    apart.append(group)
-                    break
-                if names[order[x]] == names[i] or jaccard(sets[order[x]], sets[i]) >= threshold:
-                    found.append((names[order[x]], names[i]))
-                    joined.append(group)
-                    break
-            else:
-                apart.append(group)
-        # a component whose largest member is too small for this set is too small for all that follow
-        groups = [g for g in apart if len(sets[order[g[-1]]]) >= threshold * len(sets[i])]
-        groups.append([*sorted(x for g in joined for x in g), place])
-    return found
-
-
-def _check(threshold: float):
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            found = []
-            for hs, lines in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found += verify(hs, [shingle_set(x) for x in lines], threshold)
-            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
+        yield from _meet(*(unpack((x[1:] for x in blocks if x[:1] == tag), kinds) for tag, kinds in ((b"B", BAND), (b"P", PLACE), (b"R", PLACE))))
+
+
+def shingle_sets(lines: list[str]) -> Sets:
+    """The character shingles of each line; a shorter line is one itself."""
+    cps, offsets = codepoints(lines)
+    prefix = PrefixHash(cps)
+    sizes = np.maximum(np.diff(offsets) - SHINGLE + 1, np.diff(offsets) > 0)
+    row = np.repeat(np.arange(len(lines)), sizes)
+    at = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + offsets[:-1][row]
+    return Sets(row, prefix.span(at, np.minimum(at + SHINGLE, offsets[1:][row])), len(lines))
 
-    return run
+
+def _sets(it: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, Sets]]:
+    for batch, lines in batches(it, "line"):
+        yield batch.column(0).to_numpy(), batch.column(1).to_numpy(), shingle_sets(lines)
 
 
 def _fetch(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in it:
-        bucket, h, text = [], [], []
-        for doc, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            lines = doc.split("\n")
-            for w in wanted:
-                if w["line_no"] < len(lines):
-                    bucket.append(w["bucket"])
-                    h.append(w["h"])
-                    text.append(lines[w["line_no"]])
-        cps, offsets = codepoints(text)
-        same = PrefixHash(cps).span(offsets[:-1], offsets[1:]).view(np.int64) == np.array(h, dtype=np.int64)
-        bucket, h, text = ([x for x, ok in zip(column, same) if ok] for column in (bucket, h, text))
-        yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int64()), pa.array(h, pa.int64()), pa.array(text, pa.string())], names=["bucket", "h", "line"])
-
-
-def _places(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (text, wanted lines): (h, line), each once."""
     for batch, texts in batches(it):
+        wanted = batch.column(1)
+        sizes = np.diff(np.asarray(wanted.offsets))
+        flat = wanted.flatten()
+        h, number = flat.field(0).to_numpy(), flat.field(1).to_numpy().astype(np.int64)
         lines = Lines(texts)
-        doc = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)[lines.row]
-        hashes = batch.column(2).to_numpy()[lines.row]
-        yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(lines.number.astype(np.int32)), pa.array(lines.hashes.view(np.int64)), pa.array(hashes)], names=["doc_id", "line_no", "h", "text_hash"])
-
-
-def line_dedup(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+        row = np.repeat(np.arange(len(texts)), sizes)
+        keys, key = (lines.row.astype(np.int64) << 32) + lines.number, (row << 32) + number
+        at = np.minimum(np.searchsorted(keys, key), max(0, len(keys) - 1))
+        # rows may repeat a doc_id with another text: only lines that hash as they should go on
+        at = at[(keys[at] == key) & (lines.hashes[at].view(np.int64) == h)] if len(keys) else at[:0]
+        _, one = np.unique(lines.hashes[at], return_index=True)
+        at = at[one]
+        text = [texts[r][s - o : e - o] for r, s, e, o in zip(lines.row[at].tolist(), lines.starts[at].tolist(), lines.ends[at].tolist(), lines.offsets[lines.row[at]].tolist())]
+        yield pa.RecordBatch.from_arrays([pa.array(lines.hashes[at].view(np.int64)), pa.array(text, pa.string())], names=["h", "line"])
+
+
+def line_dedup(docs: DataFrame, threshold: float = THRESHOLD, chunk: int = CHUNK) -> DataFrame:
     """(doc_id, line_no, keep_doc_id, keep_line_no, text_hash): every line that goes, the line that stays for it, and xxhash64 of its text."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null and text is not null")
     parts, tables = parts_of(spark), Tables(spark)
-    met = docs.mapInArrow(task(_scan(parts)), SCHEMA).repartitionById(parts, "part").mapInArrow(task(_reduce), "kind int, h long, doc_id long, line_no int, places long, members array<long>")
-    met = tables.write("met", met)
-    first = met.where("kind = 0").select("h", "doc_id", "line_no", "places")
-    buckets = met.where("kind = 1").select("members").distinct().select(F.xxhash64("members").alias("bucket"), F.explode("members").alias("h"))
-    wanted = buckets.join(first.select("h", "doc_id", "line_no"), "h").groupBy("doc_id").agg(F.collect_list(F.struct("bucket", "h", "line_no")).alias("wanted"))
-    # rows may repeat a doc_id with another text: only lines that hash as they should go on
-    fetched = docs.join(wanted, "doc_id").select("text", "wanted").mapInArrow(task(_fetch), "bucket long, h long, line string")
-    grouped = fetched.dropDuplicates(["bucket", "h"]).groupBy("bucket").agg(F.collect_list(F.struct("h", "line")).alias("x"))
-    edges = grouped.select(F.col("x.h").alias("h"), F.col("x.line").alias("line")).mapInArrow(task(_check(threshold)), "a long, b long")
+    scanned = docs.withColumn("text_hash", F.xxhash64("text")).mapInArrow(task(_scan(parts)), SCHEMA)
+    met = tables.write("met", scanned.repartitionById(parts, "part").mapInArrow(task(_reduce), MET))
+    first = met.where("kind = 0 and first").select("h", "doc_id", "line_no", "places")
+    members = tables.write("members", met.where("kind = 1").select("h", F.col("member")).distinct())
+    wanted = members.select(F.col("member").alias("h")).distinct().join(first, "h")
+    wanted = tables.write("wanted", wanted.groupBy("doc_id").agg(F.collect_list(F.struct("h", "line_no")).alias("wanted")))
+    fetched = docs.where(maybe_in(wanted, "doc_id")("doc_id")).join(wanted, "doc_id").select("text", "wanted").mapInArrow(task(_fetch), "h long, line string")
+    groups = dealt(members, "h", "member", chunk).join(fetched.dropDuplicates(["h"]).withColumnRenamed("h", "member"), "member").select("group", "member", "line")
+    edges = groups.repartition("group").sortWithinPartitions("group", "member").mapInArrow(task(verified(_sets, threshold, once=True)), "a long, b long")
     labels = components(edges)
     keeper = first.join(labels.withColumnRenamed("node", "h"), "h", "left").where("root is not null or places > 1").withColumn("root", F.coalesce("root", "h"))
     best = keeper.groupBy("root").agg(F.min(F.struct("doc_id", "line_no")).alias("k"))
-    keeper = cut(keeper.join(best, "root").select("h", F.col("k.doc_id").alias("keep_doc_id"), F.col("k.line_no").alias("keep_line_no")))
-    tables.drop()
-    places = docs.withColumn("text_hash", F.xxhash64("text")).mapInArrow(task(_places), "doc_id long, line_no int, h long, text_hash long")
+    keeper = keeper.join(best, "root").select("h", F.col("k.doc_id").alias("keep_doc_id"), F.col("k.line_no").alias("keep_line_no"))
+    places = met.where("kind <> 1").select("h", "doc_id", "line_no", "text_hash")
     gone = places.join(keeper, "h").where("doc_id <> keep_doc_id or line_no <> keep_line_no")
-    return gone.select("doc_id", "line_no", "keep_doc_id", "keep_line_no", "text_hash")
+    gone = cut(gone.select("doc_id", "line_no", "keep_doc_id", "keep_line_no", "text_hash"))
+    tables.drop()
+    return gone
 
 
 def op1_line_dedup(spark, sf_dir: str) -> DataFrame:
@@ -255,11 +234,14 @@ def op1_line_dedup(spark, sf_dir: str) -> DataFrame:
 
 
 def without_lines(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """``docs`` with the lines of ``gone`` taken out and n_chars set anew; documents that lose all their lines go."""
-    lists = gone.groupBy(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash")).agg(F.collect_set("line_no").alias("_gone"))
-    plain = docs.join(lists, (F.col("doc_id") == F.col("_doc")) & (F.xxhash64("text") == F.col("_hash")), "left")
-    lines = F.split("text", "\n")
-    kept = F.filter(lines, lambda x, i: ~F.array_contains("_gone", i))
-    rest = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    out = plain.withColumn("text", rest).where(F.col("_gone").isNull() | F.col("text").rlike(r"(?U)\S"))
-    return out.withColumn("n_chars", F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))).drop("_doc", "_hash", "_gone")
+    """``docs`` with the lines of ``gone`` taken out and n_chars, where there is one, set anew; documents that lose all their lines go."""
+    columns = docs.columns
+    doc, text_hash, lost = unused(docs, "_doc", "_hash", "_gone")
+    lists = gone.groupBy(F.col("doc_id").alias(doc), F.col("text_hash").alias(text_hash)).agg(F.collect_set("line_no").alias(lost))
+    text = F.col("text").cast("string")
+    plain = docs.join(lists, (F.col("doc_id").cast("long") == F.col(doc)) & (F.xxhash64(text) == F.col(text_hash)), "left")
+    kept = F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains(lost, i))
+    out = plain.withColumn("text", F.when(F.col(lost).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))).where(F.col(lost).isNull() | F.col("text").rlike(r"(?U)\S"))
+    if "n_chars" in columns:
+        out = out.withColumn("n_chars", F.when(F.col(lost).isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
+    return out.select(*(column(c) for c in columns))

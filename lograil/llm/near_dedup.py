@@ -19,8 +19,9 @@ bit sketches.  In larger nodes the documents that resemble the node on average
 rest branches on, level by level, until no large node is left.
 
 Pairs whose sketches allow the threshold (three standard deviations below it) are
-candidates.  Candidates' components fetch their texts once, and every pair of a
-component is verified by exact Jaccard unless verified pairs already connect it.
+candidates.  Candidates' components fetch their texts once, from documents that a bitmap
+of fixed size lets through (``idfilter``), and every pair of a component is verified by
+exact Jaccard unless verified pairs already connect it.
 Components of more than ``CHUNK`` documents are dealt into chunks, and all pairs of
 chunks are verified as separate groups, so none is capped and no task holds one whole.
 
@@ -44,12 +45,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import UnionFind, components
+from .components import components
 from .exchange import SCHEMA, Packer, batches, part_by, parts_of, runs, unpack
-from .line_dedup import verify
+from .idfilter import maybe_in
 from .memory import task
 from .storage import cut
 from .text import U64, PrefixHash, Words, minhash, mix
+from .verify import Labels, Sets, dealt, verified
 
 SHINGLE, THRESHOLD, TREES, NODE, CHUNK, SEED = 3, 0.55, 8, 1000, 2000, 404
 COORDINATES, SKETCH = 128, 256
@@ -162,34 +164,6 @@ def _branch(parts: int, depth: int, trees: int, threshold: float):
     return run
 
 
-class Candidates:
-    """Links of the components of candidate pairs, by document."""
-
-    def __init__(self, docs: np.ndarray):
-        self.docs, self.at = np.unique(docs, return_inverse=True)
-        self.label = np.arange(len(self.docs))
-        self.links: list[tuple[int, int]] = []
-
-    def fresh(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        return self.label[self.at[i]] != self.label[self.at[j]]
-
-    def add(self, i: np.ndarray, j: np.ndarray) -> None:
-        x, y = self.label[self.at[i]], self.label[self.at[j]]
-        lo, hi = np.minimum(x, y), np.maximum(x, y)
-        pair = np.unique((lo.astype(np.int64) << 32) | hi)
-        sets = UnionFind()
-        for k in pair.tolist():
-            if sets.union(k >> 32, k & 0xFFFFFFFF):
-                self.links.append((int(self.docs[k >> 32]), int(self.docs[k & 0xFFFFFFFF])))
-        for k in list(sets.parent):
-            sets.find(k)
-        to = np.arange(len(self.docs))
-        if sets.parent:
-            old = np.fromiter(sets.parent, np.int64)
-            to[old] = np.fromiter((sets.find(k) for k in old.tolist()), np.int64)
-            self.label = to[self.label]
-
-
 def _alike(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Estimated similarity by sketches (n, 4)."""
     return 1 - 2 * np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) / SKETCH
@@ -204,7 +178,8 @@ def compare(path: np.ndarray, doc: np.ndarray, sketch: np.ndarray, threshold: fl
     start, end = runs(path)
     size = np.repeat(end - start, end - start)
     on_doc, on_path = [], []
-    found = Candidates(doc)
+    docs, at = np.unique(doc, return_inverse=True)
+    found = Labels(len(docs))
     least = threshold - MARGIN
     small = np.flatnonzero((size > 1) & (size <= node))
     for gap in range(1, node):
@@ -213,28 +188,37 @@ def compare(path: np.ndarray, doc: np.ndarray, sketch: np.ndarray, threshold: fl
         if not len(i):
             break
         small = i
-        i = i[found.fresh(i, i + gap)]
+        i = i[found.fresh(at[i], at[i + gap])]
         i = i[_alike(sketch[i], sketch[i + gap]) >= least]
         if len(i):
-            found.add(i, i + gap)
+            found.add(at[i], at[i + gap])
     for a, b in zip(start[end - start > node], end[end - start > node]):
         bits = np.unpackbits(sketch[a:b].view(np.uint8), axis=1)
         ones, n = bits.sum(axis=0, dtype=np.int64), b - a
         agree = np.where(bits == 1, ones - 1, n - ones - 1).mean(axis=1) / max(1, n - 1)
+        del bits
         dense = 2 * agree - 1 >= 0.9 * threshold
-        members = np.arange(a, b)
-        for i in members[dense]:
-            j = members[found.fresh(np.full(n, i), members)]
-            j = j[_alike(sketch[j], sketch[i][None, :]) >= least]
-            if len(j):
-                found.add(np.full(len(j), i), j)
+        members, todo = np.arange(a, b), np.flatnonzero(dense) + a
+        while len(todo):
+            # of each component the next dense member; members of one component need no comparison with each other
+            label = found.label[at[todo]]
+            _, heads = np.unique(label, return_index=True)
+            for i in todo[heads].tolist():
+                j = members[found.label[at[members]] != found.label[at[i]]]
+                j = j[_alike(sketch[j], sketch[i][None, :]) >= least]
+                if len(j):
+                    found.add(at[j], np.full(len(j), at[i]))
+            todo = np.delete(todo, heads)
+            label = found.label[at[members]]
+            if len(todo) and (label == label[0]).all():
+                break
         on_doc.append(doc[members[~dense]])
         on_path.append(path[members[~dense]])
     empty = np.zeros(0, np.int64)
     on_doc, on_path = np.concatenate([empty, *on_doc]), np.concatenate([empty.view(U64), *on_path])
     order = np.lexsort((on_doc, on_path))
     new, _ = runs(on_path[order], on_doc[order])
-    return found.links, on_doc[order][new], on_path[order][new]
+    return [(int(docs[x]), int(docs[y])) for x, y in found.made], on_doc[order][new], on_path[order][new]
 
 
 def _meet(threshold: float, node: int):
@@ -275,29 +259,10 @@ def _onward(parts: int, threshold: float):
     return run
 
 
-def _verify(threshold: float):
-    """Rows (key, doc_id, text) in runs of equal keys: links of the pairs that reach the threshold."""
-
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, names, sets = None, [], []
-
-        def done() -> pa.RecordBatch:
-            found = verify(names, sets, threshold)
-            return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
-
-        for batch, texts in batches(it):
-            s = Shingles(texts)
-            for i, (k, doc) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
-                if k != key:
-                    if len(names) > 1:
-                        yield done()
-                    key, names, sets = k, [], []
-                names.append(doc)
-                sets.append(np.unique(s.hashes[s.bounds[i] : s.bounds[i + 1]]))
-        if len(names) > 1:
-            yield done()
-
-    return run
+def _sets(it: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, Sets]]:
+    for batch, texts in batches(it):
+        s = Shingles(texts)
+        yield batch.column(0).to_numpy(), batch.column(1).to_numpy(), Sets(np.repeat(np.arange(len(texts)), np.diff(s.bounds)), s.hashes, len(texts))
 
 
 def near_groups(docs: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, node: int = NODE, chunk: int = CHUNK) -> DataFrame:
@@ -310,18 +275,15 @@ def near_groups(docs: DataFrame, threshold: float = THRESHOLD, trees: int = TREE
     met = cut(blocks.repartitionById(parts, "part").mapInArrow(task(_meet(threshold, node)), kinds))
     copies, candidates = met.where("kind = 0"), met.where("kind = 1")
     while not met.where("kind = 2").isEmpty():
-        on = met.where("kind = 2").groupBy(F.col("a").alias("doc_id")).agg(F.collect_set("b").alias("paths"))
-        blocks = docs.join(on, "doc_id").select("doc_id", "text", "paths").mapInArrow(task(_onward(parts, threshold)), SCHEMA)
+        on = cut(met.where("kind = 2").groupBy(F.col("a").alias("doc_id")).agg(F.collect_set("b").alias("paths")))
+        some = docs.where(maybe_in(on, "doc_id")("doc_id"))
+        blocks = some.join(on, "doc_id").select("doc_id", "text", "paths").mapInArrow(task(_onward(parts, threshold)), SCHEMA)
         met = cut(blocks.repartitionById(parts, "part").mapInArrow(task(_meet(threshold, node)), kinds))
         candidates = candidates.union(met.where("kind = 1"))
-    labels = components(candidates.select("a", "b"))
-    chunks = labels.groupBy("root").agg(F.ceil(F.count("*") / chunk).cast("int").alias("chunks"))
-    mine = F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int")
-    labels = labels.join(chunks, "root").select(F.col("node").alias("doc_id"), "root", "chunks").withColumn("mine", mine)
-    fetched = docs.join(labels, "doc_id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    key = F.xxhash64("root", F.least("mine", "other"), F.greatest("mine", "other"))
-    fetched = fetched.select(key.alias("key"), "doc_id", "text").repartition("key").sortWithinPartitions("key", "doc_id")
-    edges = fetched.mapInArrow(task(_verify(threshold)), "a long, b long")
+    labels = cut(components(candidates.select("a", "b")).withColumnRenamed("node", "doc_id"))
+    groups = dealt(labels, "root", "doc_id", chunk)
+    fetched = docs.where(maybe_in(labels, "doc_id")("doc_id")).join(groups, "doc_id").select("group", "doc_id", "text")
+    edges = fetched.repartition("group").sortWithinPartitions("group", "doc_id").mapInArrow(task(verified(_sets, threshold)), "a long, b long")
     return components(edges.union(copies.select("a", "b"))).select(F.col("node").alias("doc_id"), F.col("root").alias("keep_doc_id"))
 
 
