@@ -22,6 +22,8 @@ from .memory import task
 U64 = np.uint64
 #: A flush briefly needs about five times this.
 FLUSH_BYTES = 12 << 20
+#: Text handled at once: its arrays of 64 bits stay below the size that the workers map by themselves, and in the cache.
+CHARS = 100_000
 SCHEMA = "part int, block binary"
 _ARROW = pa.schema([("part", pa.int32()), ("block", pa.binary())])
 
@@ -78,7 +80,7 @@ def unpack(blocks: Iterable[bytes], dtypes: list[str]) -> list[np.ndarray]:
     return [np.concatenate(h) if h else np.zeros(0, dtype=d) for h, d in zip(held, kinds)]
 
 
-def batches(it: Iterator[pa.RecordBatch], text: str = "text", chars: int = 600_000) -> Iterator[tuple[pa.RecordBatch, list]]:
+def batches(it: Iterator[pa.RecordBatch], text: str = "text", chars: int = CHARS) -> Iterator[tuple[pa.RecordBatch, list]]:
     """Arrow batches cut so that each has about ``chars`` bytes of text, with the texts; one row may exceed it."""
     for batch in it:
         texts = batch.column(batch.schema.get_field_index(text))

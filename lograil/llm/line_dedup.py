@@ -49,6 +49,8 @@ from .verify import Sets, dealt, verified
 
 SHINGLE, BANDS, ROWS, THRESHOLD, CHUNK, SEED = 6, 16, 6, 0.8, 1000, 20_251
 U64 = np.uint64
+#: Lines whose repeats are merged before they are sent, and lines whose signatures are not sent twice.
+HELD, RECENT = 1 << 17, 1 << 12
 _SPACE = np.zeros(0x110000, dtype=bool)
 _SPACE[[c for c in range(0x3001) if chr(c).isspace()]] = True
 
@@ -102,29 +104,42 @@ _MET = pa.schema([("kind", pa.int32()), ("h", pa.int64()), ("member", pa.int64()
 
 
 def _scan(parts: int):
-    """Blocks B: (band, line); P: (line, first place in the batch, places in the batch); R: the batch's other places."""
+    """Blocks B: (band, line); P: (line, first place, places) of some ``HELD`` lines; R: their other places."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands, places, others = Packer(BAND, b"B"), Packer(PLACE, b"P"), Packer(PLACE, b"R")
+        held, recent = [], np.zeros(0, U64)
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            h, doc, line, text = (np.concatenate(x) for x in zip(*held))
+            order = np.lexsort((line, doc, h))
+            start, end = runs(h[order])
+            k = order[start]
+            yield from places.add(part_by(h[k], parts), h[k], doc[k], line[k], text[k], end - start)
+            k = np.delete(order, start)
+            spread = mix(mix(doc[k].view(U64)) ^ line[k].astype(U64))  # not by line: one may be a third of all
+            yield from others.add(part_by(spread, parts), h[k], doc[k], line[k], text[k], np.ones(len(k), np.int64))
+
         for batch, texts in batches(it):
             lines = Lines(texts)
             if not len(lines.hashes):
                 continue
             doc = np.asarray(batch.column(0).to_numpy(zero_copy_only=False), dtype=np.int64)[lines.row]
-            text = batch.column(2).to_numpy()[lines.row]
-            order = np.lexsort((lines.number, doc, lines.hashes))
-            start, end = runs(lines.hashes[order])
-            first = order[start]
-            h = lines.hashes[first]
-            yield from places.add(part_by(h, parts), h, doc[first], lines.number[first], text[first], end - start)
-            again = np.ones(len(order), bool)
-            again[start] = False
-            k = order[again]
-            spread = mix(mix(doc[k].view(U64)) ^ lines.number[k].astype(U64))  # not by line: one may be a third of all
-            yield from others.add(part_by(spread, parts), lines.hashes[k], doc[k], lines.number[k], text[k], np.ones(len(k), np.int64))
-            which = np.sort(first)
+            held.append((lines.hashes, doc, lines.number, batch.column(2).to_numpy()[lines.row]))
+            new, first = np.unique(lines.hashes, return_index=True)
+            fresh = ~np.isin(new, recent, assume_unique=True)
+            which = np.sort(first[fresh])
             b = _bands(lines.signatures(which)).ravel()
             yield from bands.add(part_by(b, parts), b, np.repeat(lines.hashes[which], BANDS))
+            if len(recent) + len(which) > RECENT:
+                recent = new
+            else:
+                recent = np.concatenate([recent, new[fresh]])
+            if sum(len(x[0]) for x in held) > HELD:
+                yield from flush()
+                held.clear()
+        if held:
+            yield from flush()
         for pack in (bands, places, others):
             yield from pack.flush()
 
