@@ -1,7 +1,6 @@
 """Byte streams to frames, and frames to decoded rows.
 
-Zero-framed streams split anywhere at zero bytes with built-in expressions; only the
-body of a frame goes through an Arrow function.  Raw streams have no frame ends, so
+Zero-framed streams split anywhere at zero bytes.  Raw streams have no frame ends, so
 a stream's chunks meet in one task (``applyInArrow`` by stream).  The catalog is a
 dictionary of at most 65,536 entries (indices have 16 bits) and its strings; ``shared``
 checks its size before it is broadcast.
@@ -16,6 +15,7 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import render
 from ..functions.codec import LEVELS, Catalog, Eof, Malformed, decode, frame_decode
@@ -27,6 +27,8 @@ _TYPE = pa.struct([
     ("fragments", pa.list_(pa.string())), ("consumed", pa.int32()),
 ])
 RAW, ZERO_FRAMED = "raw", "rzcobs"
+SPLIT_ROWS = 50_000
+_JSON = json.JSONEncoder(separators=(", ", ": ")).encode
 POLICIES = ("permissive", "dropmalformed", "failfast")
 
 
@@ -37,10 +39,10 @@ def shared(spark: SparkSession, catalog: Catalog) -> Broadcast:
     return spark.sparkContext.broadcast(catalog)
 
 
-def decode_row(data: bytes, catalog: Catalog) -> dict:
-    """One decoded frame as a row; status: ok, eof, malformed, or unrenderable where a value has no text."""
+def decode_row(data: bytes, catalog: Catalog, at: int = 0) -> dict:
+    """The frame at ``at`` as a row; status: ok, eof, malformed, or unrenderable where a value has no text."""
     try:
-        frame = decode(data, catalog)
+        frame = decode(data, catalog, at)
     except Eof:
         return {"status": "eof"}
     except Malformed:
@@ -48,7 +50,7 @@ def decode_row(data: bytes, catalog: Catalog) -> dict:
     level = frame.entry.level
     row = {
         "status": "ok", "idx": frame.index, "tag": frame.entry.tag, "level": level, "level_name": None if level is None else LEVELS[level].upper(), "format": frame.entry.format,
-        "args": json.dumps([render.plain(a) for a in frame.arguments]), "consumed": frame.consumed,
+        "args": _JSON([render.plain(a) for a in frame.arguments]), "consumed": frame.consumed,
     }
     try:
         row["timestamp"] = render.timestamp(frame, catalog)
@@ -59,31 +61,32 @@ def decode_row(data: bytes, catalog: Catalog) -> dict:
     return row
 
 
-def decode_frames(frames: DataFrame, catalog: Catalog, column: str = "frame", framed: bool = True) -> DataFrame:
-    """``frames`` with a struct column ``decoded``; framed: the bytes are a zero-framed body, else a raw frame.
+def _struct(rows: list[dict | None]) -> pa.StructArray:
+    """Rows as columns of FRAME."""
+    mask = pa.array([r is None for r in rows], pa.bool_())
+    return pa.StructArray.from_arrays([pa.array([r and r.get(f.name) for r in rows], f.type) for f in _TYPE], fields=list(_TYPE), mask=mask)
+
+
+def decode_frames(frames: DataFrame, catalog: Catalog, column: str = "frame", framed: bool | None = None) -> DataFrame:
+    """``frames`` with a struct column ``decoded``; framed: the bytes are a zero-framed body, else a raw frame; by default what the catalog's encoding says.
 
     In a framed body too few bytes are malformed, and bytes after the frame are padding.
     """
-    table = shared(frames.sparkSession, catalog)
+    table, framed = shared(frames.sparkSession, catalog), catalog.encoding == ZERO_FRAMED if framed is None else framed
+
+    def one(raw: bytes | None, catalog: Catalog) -> dict | None:
+        if raw is None or not framed:
+            return None if raw is None else decode_row(raw, catalog)
+        try:
+            row = decode_row(frame_decode(raw), catalog)
+        except Malformed:
+            return {"status": "malformed"}
+        return {"status": "malformed"} if row["status"] == "eof" else row
 
     @F.arrow_udf(FRAME)
     def run(column: pa.Array) -> pa.Array:
-        catalog, out = table.value, []
-        for raw in column.to_pylist():
-            if raw is None:
-                out.append(None)
-                continue
-            if framed:
-                try:
-                    raw = frame_decode(raw)
-                except Malformed:
-                    out.append({"status": "malformed"})
-                    continue
-            row = decode_row(raw, catalog)
-            if framed and row["status"] == "eof":
-                row["status"] = "malformed"
-            out.append(row)
-        return pa.array(out, _TYPE)
+        catalog = table.value
+        return _struct([one(raw, catalog) for raw in column.to_pylist()])
 
     return frames.withColumn("decoded", run(F.col(column)))
 
@@ -91,14 +94,42 @@ def decode_frames(frames: DataFrame, catalog: Catalog, column: str = "frame", fr
 def split_zero_framed(streams: DataFrame, column: str = "bytes") -> DataFrame:
     """``streams`` with a row for each frame: columns ``ordinal`` and ``frame``.  Empty pieces between zeros are none.
 
-    Bytes after the last zero are an unfinished frame and dropped.  Splitting works on the
-    hexadecimal text, two digits a byte, since a binary column has no split.
+    Bytes after the last zero are an unfinished frame and dropped.  A null stream has no frames.
+    Files larger than a row may be are split by ranges of bytes: ``sources.chunks.read_zero_framed``.
     """
     others = [c for c in streams.columns if c != column]
-    aligned = F.regexp_replace(F.hex(column), "(..)", "$1 ")
-    pieces = F.slice(F.split(aligned, "00 "), 1, F.greatest(F.lit(0), F.size(F.split(aligned, "00 ")) - 1))
-    frames = F.filter(pieces, lambda x: x != "")
-    return streams.select(*others, F.posexplode(frames).alias("ordinal", "hex")).withColumn("frame", F.unhex(F.regexp_replace("hex", " ", ""))).drop("hex")
+    plain = streams.select(*others, column)
+    kinds = T.StructType([*plain.schema.fields[:-1], T.StructField("ordinal", T.IntegerType()), T.StructField("frame", T.BinaryType())])
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            for i, stream in enumerate(batch.column(batch.num_columns - 1)):
+                raw = stream.as_py()
+                pieces = [p for p in raw.split(b"\0")[:-1] if p] if raw else []
+                for lo in range(0, len(pieces), SPLIT_ROWS):
+                    some = pieces[lo : lo + SPLIT_ROWS]
+                    rows = pa.array([i] * len(some), pa.int32())
+                    yield pa.RecordBatch.from_arrays([*(batch.column(k).take(rows) for k in range(len(others))), pa.array(range(lo, lo + len(some)), pa.int32()), pa.array(some, pa.binary())], names=kinds.names)
+
+    return plain.mapInArrow(run, kinds)
+
+
+def decode_stream(chunks: DataFrame, catalog: Catalog, stream: str = "stream_id", seq: str = "seq", chunk: str = "chunk") -> DataFrame:
+    """(stream, ordinal, decoded fields) of chunked byte streams, split as the catalog's encoding says."""
+    if catalog.encoding == RAW:
+        return decode_raw_streams(chunks, catalog, stream, seq, chunk)
+    if catalog.encoding != ZERO_FRAMED:
+        raise ValueError(f"unknown encoding: {catalog.encoding}")
+    kind, parts = chunks.schema[stream].dataType.simpleString(), int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.sort_by("_seq")
+        frames = [f for f in b"".join(x for x in group.column("_chunk").to_pylist() if x).split(b"\0")[:-1] if f]
+        return pa.table({"_stream": pa.array([group.column("_stream")[0].as_py()] * len(frames), group.schema.field("_stream").type), "ordinal": pa.array(range(len(frames)), pa.int32()), "frame": pa.array(frames, pa.binary())})
+
+    plain = chunks.select(F.col(stream).alias("_stream"), F.col(seq).alias("_seq"), F.col(chunk).alias("_chunk")).repartition(parts, "_stream")
+    pieces = plain.groupBy("_stream").applyInArrow(run, f"_stream {kind}, ordinal int, frame binary")
+    return decode_frames(pieces, catalog, framed=True).select(F.col("_stream").alias(stream), "ordinal", "decoded.*")
 
 
 def early_level_filter(frames: DataFrame, catalog: Catalog, keep: list[int], column: str = "frame") -> DataFrame:
@@ -112,7 +143,7 @@ def raw_frames(data: bytes, catalog: Catalog) -> Iterator[dict]:
     """Rows of a raw stream in order; the first malformed frame ends it, an unfinished one at the end is left out."""
     at = 0
     while at < len(data):
-        row = decode_row(data[at:], catalog)
+        row = decode_row(data, catalog, at)
         if row["status"] == "eof":
             return
         yield row
@@ -129,11 +160,13 @@ def decode_raw_streams(chunks: DataFrame, catalog: Catalog, stream: str = "strea
     def run(group: pa.Table) -> pa.Table:
         group = group.sort_by("_seq")
         rows = list(raw_frames(b"".join(x for x in group.column("_chunk").to_pylist() if x), table.value))
-        out = pa.array(rows, _TYPE)
+        out = _struct(rows)
         columns = {"_stream": pa.array([group.column("_stream")[0].as_py()] * len(rows), group.schema.field("_stream").type), "ordinal": pa.array(range(len(rows)), pa.int32())}
         return pa.table(columns | {f.name: out.field(i) for i, f in enumerate(_TYPE)})
 
-    plain = chunks.select(F.col(stream).alias("_stream"), F.col(seq).alias("_seq"), F.col(chunk).alias("_chunk"))
+    # by a number of partitions, since decoding costs far more than its bytes let the planner expect
+    parts = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    plain = chunks.select(F.col(stream).alias("_stream"), F.col(seq).alias("_seq"), F.col(chunk).alias("_chunk")).repartition(parts, "_stream")
     return plain.groupBy("_stream").applyInArrow(run, f"_stream {kind}, ordinal int, {FRAME}").withColumnRenamed("_stream", stream)
 
 
@@ -155,10 +188,20 @@ def skipped_frames(decoded: DataFrame, status: str = "decoded.status") -> DataFr
 
 
 def lookup_formats(frames: DataFrame, table: DataFrame, idx: str = "idx") -> DataFrame:
-    """Index to format as a join; an index that the table lacks makes the row malformed.  The table has at most 65,536 rows."""
-    return frames.join(F.broadcast(table.withColumn("_found", F.lit(True))), idx, "left").withColumn("status", F.when(F.col("_found"), "ok").otherwise("malformed")).drop("_found")
+    """Index to format as a join; an index that the table lacks makes the row malformed.
+
+    An index has 16 bits, so a proper table is small and the planner broadcasts it; one that is not is joined by a shuffle.
+    """
+    found = next(n for n in ("_found" + "_" * i for i in range(99)) if n not in {c.lower() for c in frames.columns + table.columns})
+    return frames.join(table.withColumn(found, F.lit(True)), idx, "left").withColumn("status", F.when(F.col(found), "ok").otherwise("malformed")).drop(found)
+
+
+_COLORS = {"TRACE": "2", "INFO": "32", "WARN": "33", "ERROR": "31"}
 
 
-def display(level_name: Column, timestamp: Column, message: Column) -> Column:
+def display(level_name: Column, timestamp: Column, message: Column, colored: bool = False) -> Column:
     """``[timestamp ][LEVEL ]message``; nulls and their spaces are left out."""
+    if colored:
+        paint = F.create_map(*(F.lit(x) for pair in _COLORS.items() for x in pair))[level_name]
+        level_name = F.when(paint.isNull(), level_name).otherwise(F.concat(F.lit("\x1b["), paint, F.lit("m"), level_name, F.lit("\x1b[0m")))
     return F.concat_ws(" ", timestamp, level_name, message)

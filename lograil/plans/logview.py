@@ -5,9 +5,8 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..functions.codec import Catalog, Entry, frame_encode
+from ..functions.codec import Catalog, Entry, stream_encode
 from ..functions.hints import little_endian
 
 TYPES = ["view", "click", "signup", "purchase", "error"]  # in order of level
@@ -37,13 +36,13 @@ def raw_frames(log: DataFrame) -> DataFrame:
     return log.withColumn("frame", F.concat(little_endian(level, 2), little_endian(F.col("ms"), 8), little_endian(F.col("event_id"), 8), little_endian(F.col("user_id"), 4), little_endian(kind, 2)))
 
 
-@F.arrow_udf(T.BinaryType())
-def zero_framed(frames: pa.Array) -> pa.Array:
-    return pa.array([None if x is None else frame_encode(x) for x in frames.to_pylist()], pa.binary())
+def streams(frames: DataFrame, column: str = "frame", size: int = 1000) -> DataFrame:
+    """(stream_id, bytes): the frames of each ``size`` event numbers, zero-framed, as one byte stream, in order."""
+    parts = int(frames.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = frames.select(F.expr(f"event_id div {size}").alias("stream_id"), "event_id", column).repartition(parts, "stream_id")
 
+    def run(group: pa.Table) -> pa.Table:
+        raw = group.sort_by("event_id").column(column).to_pylist()
+        return pa.table({"stream_id": group.column("stream_id")[:1], "bytes": pa.array([stream_encode([x for x in raw if x is not None])], pa.binary())})
 
-def streams(frames: DataFrame, column: str = "frame", size: int = 1000) -> DataFrame:
-    """(stream_id, bytes): the frames of each ``size`` event numbers as one byte stream, in order."""
-    piece = F.struct("event_id", F.hex(column).alias("hex"))
-    joined = frames.groupBy(F.expr(f"event_id div {size}").alias("stream_id")).agg(F.sort_array(F.collect_list(piece)).alias("x"))
-    return joined.select("stream_id", F.unhex(F.array_join(F.col("x.hex"), "")).alias("bytes"))
+    return spread.groupBy("stream_id").applyInArrow(run, "stream_id long, bytes binary")

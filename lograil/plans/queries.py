@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .. import sinks
 from ..functions import hints
 from ..operators import filters, frames, locate, template
-from .logview import CATALOG, LOCATIONS, VIEW_SQL, logs, raw_frames, streams, zero_framed
+from .logview import CATALOG, LOCATIONS, VIEW_SQL, logs, raw_frames, streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -98,7 +98,7 @@ def _decoded(spark: SparkSession, sf_dir: str, corrupt: bool = False) -> DataFra
     sent = raw_frames(logs(spark, sf_dir))
     if corrupt:  # an index that no catalog has
         sent = sent.withColumn("frame", F.when(F.col("event_id") % 7 == 0, F.concat(F.unhex(F.lit("E703")), F.expr("substring(frame, 3)"))).otherwise(F.col("frame")))
-    pieces = frames.split_zero_framed(streams(sent.withColumn("frame", zero_framed("frame"))))
+    pieces = frames.split_zero_framed(streams(sent))
     return frames.decode_frames(pieces, CATALOG).select("stream_id", "ordinal", "decoded.*")
 
 

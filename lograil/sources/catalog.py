@@ -30,10 +30,9 @@ def settings(names: list[str], prefix: str, has_section: bool = True, check: boo
     for name in names:
         for kind, values in found.items():
             if name.strip('"').startswith(f"{prefix}{kind}_ = "):
-                value = name.strip('"').split(" = ", 1)[1]
-                if values - {value}:
-                    raise CatalogError(f"two values of {kind}")
-                values.add(value)
+                if values:
+                    raise CatalogError(f"more than one symbol of {kind}")
+                values.add(name.strip('"').split(" = ", 1)[1])
     version, encoding = (next(iter(v), None) for v in found.values())
     if not has_section:
         if version is None:
@@ -74,9 +73,10 @@ def bitflags_table(symbols: DataFrame, prefix: str) -> DataFrame:
     return rows.groupBy("ident", "package", "disambig", "crate_name").agg(F.sort_array(F.collect_list("f")).alias("flags"))
 
 
-def load(table: DataFrame, flags: DataFrame | None = None, encoding: str = "rzcobs", version: str = "4", timestamp: str | None = None) -> Catalog:
-    """The driver's catalog of a format table; at most 65,536 rows of either table are taken in, as many as indices exist, and more raise."""
-    check_version(version)
+def load(table: DataFrame, flags: DataFrame | None = None, encoding: str = "rzcobs", version: str = "4", timestamp: str | None = None, check: bool = True) -> Catalog:
+    """The driver's catalog of a format table, of any version without ``check``; at most 65,536 rows of either table are taken in, as many as indices exist, and more raise."""
+    if check:
+        check_version(version)
     rows = table.select("idx", "tag", "level", "format").limit((1 << 16) + 2).collect()
     stamps = [r for r in rows if r.tag == "timestamp"]
     if len(stamps) > 1:
