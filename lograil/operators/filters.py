@@ -54,11 +54,12 @@ def within(module: Column, path: str) -> Column:
 
 
 def directive_filter(text: str, crate: str, module: Column, level: Column) -> Column:
-    """The predicate of a directive list; built from Columns, so it is pushed down and compiled like any other."""
-    least = F.when(level.isNull(), F.lit(True))
-    for path, value in sorted(parse_directives(text, crate).items(), key=lambda x: (-x[0].count("::"), x[0])):
+    """The predicate of a directive list, of Columns alone.  The least level of all directives is a conjunct of its own, which scans can take."""
+    least, found = F.when(level.isNull(), F.lit(True)), parse_directives(text, crate)
+    for path, value in sorted(found.items(), key=lambda x: (-x[0].count("::"), x[0])):
         least = least.when(within(module, path), level >= F.lit(OFF if value is None else value))
-    return F.coalesce(least.otherwise(F.lit(False)), F.lit(False))
+    lowest = min(OFF if v is None else v for v in found.values())
+    return (level.isNull() | (level >= F.lit(lowest))) & F.coalesce(least.otherwise(F.lit(False)), F.lit(False))
 
 
 def level_at_least(level: Column, least: str) -> Column:

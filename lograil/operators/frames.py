@@ -17,8 +17,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import render
+from ..functions import grammar, render
 from ..functions.codec import LEVELS, Catalog, Eof, Malformed, decode, frame_decode
+from .locate import bounded
 
 MAX_CATALOG_CHARS = 256 << 20
 FRAME = "status string, idx int, tag string, level tinyint, level_name string, timestamp string, format string, args string, message string, fragments array<string>, consumed int"
@@ -74,23 +75,36 @@ def decode_frames(frames: DataFrame, catalog: Catalog, column: str = "frame", fr
     """
     table, framed = shared(frames.sparkSession, catalog), catalog.encoding == ZERO_FRAMED if framed is None else framed
 
-    def one(raw: bytes | None, catalog: Catalog) -> dict | None:
-        if raw is None or not framed:
-            return None if raw is None else decode_row(raw, catalog)
-        try:
-            row = decode_row(frame_decode(raw), catalog)
-        except Malformed:
-            return {"status": "malformed"}
-        return {"status": "malformed"} if row["status"] == "eof" else row
-
     @F.arrow_udf(FRAME)
     def run(column: pa.Array) -> pa.Array:
-        catalog = table.value
-        return _struct([one(raw, catalog) for raw in column.to_pylist()])
+        return _struct([_one(raw, table.value, framed) for raw in column.to_pylist()])
 
     return frames.withColumn("decoded", run(F.col(column)))
 
 
+def _one(raw: bytes | None, catalog: Catalog, framed: bool) -> dict | None:
+    if raw is None or not framed:
+        return None if raw is None else decode_row(raw, catalog)
+    try:
+        row = decode_row(frame_decode(raw), catalog)
+    except Malformed:
+        return {"status": "malformed"}
+    return {"status": "malformed"} if row["status"] == "eof" else row
+
+
+def decode_rows(frames: DataFrame, catalog: Catalog, framed: bool) -> DataFrame:
+    """(all columns but the last, decoded fields) of rows whose last column is a frame; works behind stateful operators, whose rows Arrow functions don't take."""
+    table, kept = shared(frames.sparkSession, catalog), frames.schema.fields[:-1]
+    schema = T.StructType([*kept, *T._parse_datatype_string(FRAME).fields])
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            rows = _struct([_one(raw, table.value, framed) for raw in batch.column(len(kept)).to_pylist()])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(kept))), *rows.flatten()], names=schema.names)
+
+    return frames.mapInArrow(run, schema)
+
+
 def split_zero_framed(streams: DataFrame, column: str = "bytes") -> DataFrame:
     """``streams`` with a row for each frame: columns ``ordinal`` and ``frame``.  Empty pieces between zeros are none.
 
@@ -190,10 +204,10 @@ def skipped_frames(decoded: DataFrame, status: str = "decoded.status") -> DataFr
 def lookup_formats(frames: DataFrame, table: DataFrame, idx: str = "idx") -> DataFrame:
     """Index to format as a join; an index that the table lacks makes the row malformed.
 
-    An index has 16 bits, so a proper table is small and the planner broadcasts it; one that is not is joined by a shuffle.
+    An index has 16 bits: a table of no more rows is broadcast, a larger one joined by a shuffle.
     """
     found = next(n for n in ("_found" + "_" * i for i in range(99)) if n not in {c.lower() for c in frames.columns + table.columns})
-    return frames.join(table.withColumn(found, F.lit(True)), idx, "left").withColumn("status", F.when(F.col(found), "ok").otherwise("malformed")).drop(found)
+    return frames.join(bounded(table).withColumn(found, F.lit(True)), idx, "left").withColumn("status", F.when(F.col(found), "ok").otherwise("malformed")).drop(found)
 
 
 _COLORS = {"TRACE": "2", "INFO": "32", "WARN": "33", "ERROR": "31"}
@@ -205,3 +219,19 @@ def display(level_name: Column, timestamp: Column, message: Column, colored: boo
         paint = F.create_map(*(F.lit(x) for pair in _COLORS.items() for x in pair))[level_name]
         level_name = F.when(paint.isNull(), level_name).otherwise(F.concat(F.lit("\x1b["), paint, F.lit("m"), level_name, F.lit("\x1b[0m")))
     return F.concat_ws(" ", timestamp, level_name, message)
+
+
+def format_fragments(table: DataFrame) -> DataFrame:
+    """(idx, place, kind, text, argument, type, hint) of each fragment of a format table's formats: literals, and parameters with their types."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            rows = []
+            for idx, format in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for place, f in enumerate(grammar.parse(format)):
+                    text = isinstance(f, str)
+                    rows.append((idx, place, "literal" if text else "parameter", f if text else None, None if text else f.index, None if text else f.type.kind, None if text or f.hint is None else f.hint.kind))
+            columns = list(zip(*rows)) or [()] * 7
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.string()))], names=["idx", "place", "kind", "text", "argument", "type", "hint"])
+
+    return table.select("idx", "format").where("format is not null").mapInArrow(run, "idx int, place int, kind string, text string, argument int, type string, hint string")

@@ -7,11 +7,14 @@ colour, styles, and [<^>][0]width.  Rows without a level are printed as they are
 
 from __future__ import annotations
 
+import difflib
 import re
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 DEFAULT = {(False, False): "{L} {s}", (True, False): "{t} {L} {s}", (False, True): "{L} {s}\n└─ {m} @ {F}:{l}", (True, True): "{t} {L} {s}\n└─ {m} @ {F}:{l}"}
 _LOCATION = " {({c:bold} {fff}:{l:1})%dimmed}"
@@ -146,8 +149,8 @@ def _paint(x: Column, segment: Segment, color: str | None, level: Column) -> Col
     return F.when(joined == "", x).otherwise(F.concat(F.lit("\x1b["), joined, F.lit("m"), x, F.lit("\x1b[0m")))
 
 
-def render(template: str | list[Segment], columns: dict[str, Column], color: bool = False) -> Column:
-    """The text of a row; columns: message, level, timestamp, file, line, module."""
+def render(template: str | list[Segment], columns: dict[str, Column], color: bool = False, diffs: bool = False) -> Column:
+    """The text of a row; columns: message, level, timestamp, file, line, module.  diffs: failed comparisons are shown as ``assertion_diff``."""
     segments = parse(template) if isinstance(template, str) else template
     level, names = columns["level"], ["TRACE", "DEBUG", "INFO", "WARN", "ERROR"]
     null = F.lit(None).cast("string")
@@ -183,10 +186,42 @@ def render(template: str | list[Segment], columns: dict[str, Column], color: boo
             x = _paint(x, s, s.color or ("severity" if s.kind == "L" else None), level)
         return _pad(x, s, width, color)
 
-    return F.when(level.isNull(), columns["message"]).otherwise(F.concat(*map(one, segments)))
+    text = F.when(level.isNull(), columns["message"]).otherwise(F.concat(*map(one, segments)))
+    return F.coalesce(assertion_diff(columns["message"]), text) if diffs else text
+
+
+def diff(left: str, right: str) -> list[tuple[str, str]]:
+    """Character runs of two texts: ('=', common), ('<', left only), ('>', right only)."""
+    out = []
+    for kind, a, b, c, d in difflib.SequenceMatcher(None, left, right, autojunk=False).get_opcodes():
+        if kind == "equal":
+            out.append(("=", left[a:b]))
+        else:
+            out += [(k, t) for k, t in (("<", left[a:b]), (">", right[c:d])) if t]
+    return out
+
+
+def _sgr(text: str, *codes: int) -> str:
+    return f"\x1b[{';'.join(map(str, codes))}m{text}\x1b[0m"
+
+
+def assertion_text(message: str | None) -> str | None:
+    """A failed comparison with its two values as a coloured difference; None for other messages."""
+    lines = (message or "").splitlines()
+    if len(lines) < 3 or not all(x.startswith(head) and x.endswith("`") and len(x) > len(head) for x, head in ((lines[-2], " left: `"), (lines[-1], "right: `"))):
+        return None
+    found = diff(lines[-2][8:-1], lines[-1][8:-1])
+    out = [_sgr("\n".join(lines[:-2]), 1), f"{_sgr('diff', 1)} {_sgr('< left', 31)} / {_sgr('right >', 32)}"]
+    for sign, color in (("<", 31), (">", 32)):
+        out.append(_sgr(sign, color) + "".join(_sgr(t, color) if k == "=" else _sgr(t, color, 1) for k, t in found if k in ("=", sign)))
+    return "\n".join(out)
+
+
+@F.arrow_udf(T.StringType())
+def _assertion(messages: pa.Array) -> pa.Array:
+    return pa.array([assertion_text(m) for m in messages.to_pylist()], pa.string())
 
 
 def assertion_diff(message: Column) -> Column:
-    """The message with `` left:`` and ``right:`` of a failed comparison marked red and green."""
-    marked = F.regexp_replace(message, r"(?m)^( left: .*)$", "\x1b[31m$1\x1b[0m")
-    return F.when(message.rlike(r"(?s)^panicked at 'assertion failed.*\n left: .*\nright: "), F.regexp_replace(marked, r"(?m)^(right: .*)$", "\x1b[32m$1\x1b[0m")).otherwise(message)
+    """Failed comparisons as a difference in colours, null for all other messages; only messages that end like one reach Python."""
+    return F.when(message.rlike(r"(?s)\n left: `.*`\nright: `.*`\n?$"), _assertion(message))

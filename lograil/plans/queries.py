@@ -221,3 +221,9 @@ def warnings_by_module(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Decoded frames are rows like any other."""
     kept = logs(spark, sf_dir).where(filters.level_at_least(F.col("level"), "warn"))
     return kept.groupBy("module").agg(F.count("*").alias("n"), F.max("ms").alias("last_ms"))
+
+
+from . import survey  # noqa: E402
+
+QUERIES |= survey.QUERIES
+ORACLE_SQL |= survey.ORACLE_SQL

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import re
 import socket
 import time
 from collections.abc import Iterator
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 
 SCHEMA = "stream_id string, seq long, chunk binary"
+PIECE = 4 << 20
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
@@ -18,6 +22,47 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select(F.col("path").alias("stream_id"), F.lit(0).cast("long").alias("seq"), F.col("content").alias("chunk"))
 
 
+def read_zero_framed(spark: SparkSession, path: str, size: int = 64 << 20) -> DataFrame:
+    """(stream_id, start, frame) of zero-framed files, split by ranges of about ``size`` bytes that tasks read by themselves.
+
+    A frame belongs to the range that its first byte is in; ``start`` orders a file's frames.  Bytes after a file's last zero are dropped.
+    """
+    files = spark.read.format("binaryFile").load(path).select("path", "length")  # the content is not read here
+    ranges = files.withColumn("at", F.explode(F.expr(f"sequence(0L, greatest(length - 1, 0L), {size}L)"))).select("path", "at")
+    parts = max(1, min(ranges.count(), 10_000))
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            for name, at in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                system, file = fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", name))
+                with system.open_input_file(file) as source:
+                    yield from _range(source, name, at, at + size)
+
+    return ranges.repartition(parts).mapInArrow(run, "stream_id string, start long, frame binary")
+
+
+def _range(source, name: str, at: int, end: int) -> Iterator[pa.RecordBatch]:
+    """Frames that start in [at, end)."""
+    first = max(0, at - 1)  # a zero just before the range makes its first byte a frame's first
+    source.seek(first)
+    held, place, inside = b"", first, at == 0
+    while place < end:
+        data = source.read(PIECE)
+        held += data
+        *frames, rest = held.split(b"\0")
+        starts, found = [], []
+        for frame in frames:
+            if inside and frame and at <= place < end:
+                starts.append(place)
+                found.append(frame)
+            inside, place = True, place + len(frame) + 1
+        held = rest
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(found)), pa.array(starts, pa.int64()), pa.array(found, pa.binary())], names=["stream_id", "start", "frame"])
+        if not data:
+            return
+
+
 class TcpChunks(DataSource):
     """``spark.readStream.format('tcp_chunks').option('host', ...).option('port', ...)``; a closed connection ends the stream's data."""
 

@@ -4,6 +4,7 @@ import json
 import os
 import subprocess
 import sys
+import time
 
 import duckdb
 import pytest
@@ -15,7 +16,7 @@ from lograil.operators import filters, frames, locate, template
 from lograil.plans.logview import CATALOG
 from lograil.plans.queries import ORACLE_SQL, QUERIES
 from lograil.sources import catalog, chunks
-from lograil.streaming.deframe import deframe_stream
+from lograil.streaming.deframe import decode_streaming, deframe_stream, reloading
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
@@ -81,7 +82,7 @@ def test_columns_agree_with_the_renderer(spark):
     df = spark.createDataFrame([(x,) for x in xs], "x long")
     x = F.col("x")
     for hint, column in {"": hints.decimal(x), "012": hints.decimal(x, 12), "#06x": hints.hexadecimal(x, 6, True), "X": hints.hexadecimal(x, upper=True), "#b": hints.binary(x, alternate=True), "o": hints.octal(x), "us": hints.seconds(x, 6), "tms": hints.clock(x, 3), "ts": hints.clock(x, 0)}.items():
-        assert [r[0] for r in df.select(column).collect()] == [text(f"{{=u64:{hint}}}", (("u", v),), None, CATALOG) for v in xs]
+        assert [r[0] for r in df.select(column).collect()] == [text(f"{{=u64:{hint}}}" if hint else "{=u64}", (("u", v),), None, CATALOG) for v in xs]
     for size in (1, 2, 4, 8):
         values = [v for v in (0, 1, 127, 128, 255, 2**31, 2**63 - 1) if v < 1 << 8 * size]
         back = spark.createDataFrame([(v,) for v in values], "x long").select(hints.from_little_endian(hints.little_endian(x, size), 0, size), hints.from_little_endian(hints.little_endian(x, size), 0, size, True))
@@ -188,3 +189,87 @@ def test_more_bit_flags_than_are_taken_in_raise(spark):
     with pytest.raises(catalog.CatalogError):
         catalog.load(table, flags)
     assert len(catalog.load(table, flags.where("ident <> '0'")).bitflags) == 1 << 16
+
+
+def test_files_split_by_ranges_of_bytes(spark, tmp_path):
+    frame = [bytes([1 + i % 250]) * (1 + i % 37) for i in range(500)]
+    (tmp_path / "a").write_bytes(b"\0" + b"\0".join(frame) + b"\0\0unfinished")
+    (tmp_path / "b").write_bytes(b"x\0")
+    (tmp_path / "c").write_bytes(b"")
+    whole = chunks.read_zero_framed(spark, str(tmp_path)).collect()
+    for size in (1, 7, 100, 5000):
+        got = chunks.read_zero_framed(spark, str(tmp_path), size).collect()
+        assert sorted(map(tuple, got)) == sorted(map(tuple, whole))
+    assert [bytes(r.frame) for r in sorted(whole, key=lambda r: r.start) if r.stream_id.endswith("a")] == frame and len(whole) == 501
+
+
+def _run_stream(spark, source, catalog_, checkpoint, out, view):
+    query = decode_streaming(source, catalog_).writeStream.format("parquet").option("checkpointLocation", checkpoint).option("path", out).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.parquet(out)
+
+
+@pytest.mark.parametrize("encoding", ["raw", "rzcobs"])
+def test_streaming_decode_goes_on_after_a_restart(spark, tmp_path, encoding):
+    from lograil.functions.codec import Catalog, Entry, encode, stream_encode
+
+    table = Catalog({1: Entry("info", "n={=u32}", 2)}, encoding=encoding)
+    sent = [encode(1, table, [i]) for i in range(40)]
+    data = b"".join(sent) if encoding == "raw" else stream_encode(sent)
+    pieces = [data[i : i + 13] for i in range(0, len(data), 13)]
+    source, half = str(tmp_path / "in"), len(pieces) // 2
+    rows = [("s", i, bytearray(p)) for i, p in enumerate(pieces)]
+    rows[1], rows[half] = rows[half], rows[1]  # a chunk comes before its turn
+    schema = "stream_id string, seq long, chunk binary"
+    for part in (rows[:half], rows[half:]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(schema).parquet(source)
+        got = _run_stream(spark, stream, table, str(tmp_path / "check"), str(tmp_path / "out"), encoding)
+    assert [r.message for r in got.orderBy("ordinal").collect()] == [f"n={i}" for i in range(40)]
+
+
+def test_a_bad_raw_frame_ends_its_stream(spark, tmp_path):
+    from lograil.functions.codec import Catalog, Entry, encode
+
+    table = Catalog({1: Entry("info", "n={=u8}", 2)}, encoding="raw")
+    data = encode(1, table, [5]) + b"\x63\x00" + encode(1, table, [6])
+    source = str(tmp_path / "in")
+    spark.createDataFrame([("s", 0, bytearray(data)), ("s", 1, bytearray(encode(1, table, [7])))], "stream_id string, seq long, chunk binary").write.parquet(source)
+    stream = spark.readStream.schema("stream_id string, seq long, chunk binary").parquet(source)
+    got = _run_stream(spark, stream, table, str(tmp_path / "check"), str(tmp_path / "out"), "bad")
+    assert [(r.ordinal, r.status, r.message) for r in got.orderBy("ordinal").collect()] == [(0, "ok", "n=5"), (1, "malformed", None)]
+    with pytest.raises(ValueError):
+        decode_streaming(stream, Catalog({}, encoding="morse"))
+
+
+def test_tcp_chunks_as_a_stream(spark, tmp_path):
+    import socket
+    import threading
+
+    from lograil.functions.codec import Catalog, Entry, encode, stream_encode
+
+    table = Catalog({1: Entry("info", "n={=u8}", 2)})
+    server = socket.create_server(("127.0.0.1", 0))
+
+    def serve():
+        peer, _ = server.accept()
+        peer.sendall(stream_encode([encode(1, table, [i]) for i in range(20)]))
+        peer.close()
+
+    threading.Thread(target=serve, daemon=True).start()
+    spark.dataSource.register(chunks.TcpChunks)
+    stream = spark.readStream.format("tcp_chunks").option("host", "127.0.0.1").option("port", str(server.getsockname()[1])).option("wait", "1").load()
+    query = decode_streaming(stream, table).writeStream.format("memory").queryName("tcp_frames").option("checkpointLocation", str(tmp_path / "check")).start()
+    until = time.monotonic() + 90
+    while time.monotonic() < until and (not query.isActive or spark.table("tcp_frames").count() < 20):
+        time.sleep(0.5)
+    query.stop()
+    assert [r.message for r in spark.table("tcp_frames").orderBy("ordinal").collect()] == [f"n={i}" for i in range(20)]
+
+
+def test_catalogs_are_loaded_anew_when_their_version_changes():
+    versions, loaded, seen = iter([1, 1, 2]), [], []
+    run = reloading(lambda: next(versions), lambda: loaded.append(0) or len(loaded), lambda df, c: seen.append((df, c)))
+    for i in range(3):
+        run(i, i)
+    assert seen == [(0, 1), (1, 1), (2, 2)]
