@@ -10,8 +10,10 @@ from other documents the spans are cut out, from the first word's first to the
 last word's last character.
 
 The broadcast is checked: a benchmark of more than ``slice_words`` words is
-dealt into slices of at most about that size, and the scan's map runs once a
-slice, in one pass over the documents without any shuffle.
+dealt into slices of about that size.  Each slice is a pass of its own over the
+documents: its result is cut to the shared folder and its broadcast dropped before the
+next is made, so that one slice is in memory at a time.  One slice is the usual case,
+and needs no cut and no shuffle.
 
 Defined results.  Null and empty texts have no words and stay.  Null items and
 items of fewer than ``shortest`` words match nothing.  Null ids stay as they
@@ -27,12 +29,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .exchange import batches
 from .memory import task
+from .names import unused
+from .storage import cut
 from .text import Words
 
 N, SHORTEST, DROP_SHARE, SLICE_WORDS = 10, 5, 0.5, 2_000_000
@@ -100,7 +104,7 @@ def _mark(shared):
             spans: dict[int, list[tuple[int, int, int]]] = {}
             for row, a, b, item in grams.hits(words):
                 spans.setdefault(row, []).append((a, b, item))
-            place = batch.schema.get_field_index("_spans")
+            place = batch.num_columns - 2
             before = batch.column(place).to_pylist()
             count = np.diff(words.first)
             for row, have in enumerate(before):
@@ -115,35 +119,39 @@ def _mark(shared):
                 ])
             columns = [batch.column(i) for i in range(batch.num_columns)]
             columns[place] = pa.array(new, _SPAN_TYPE)
-            columns[batch.schema.get_field_index("_words")] = pa.array(count.astype(np.int32))
+            columns[place + 1] = pa.array(count.astype(np.int32))
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
     return run
 
 
 def _marked(docs: DataFrame, benchmark: DataFrame, n: int, shortest: int, slice_words: int) -> DataFrame:
-    """``docs`` and their spans (``_spans``) and numbers of words (``_words``)."""
+    """``docs`` and two more columns at the end, of names that it doesn't have: spans, and numbers of words."""
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("item_id is not null and text is not null")
     total = items.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
     slices = max(1, -(-total // slice_words))
-    out = docs.withColumn("_spans", F.lit(None).cast(_SPANS)).withColumn("_words", F.lit(None).cast("int"))
+    spans, count = unused(docs, "_spans", "_words")
+    out = docs.withColumn(spans, F.lit(None).cast(_SPANS)).withColumn(count, F.lit(None).cast("int"))
     schema = out.schema
     for i in range(slices):
         part = items if slices == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(slices)) == i)
         shared = spark.sparkContext.broadcast(Grams(part.collect(), n, shortest))
         out = out.mapInArrow(task(_mark(shared)), schema)
+        if slices > 1:
+            out = cut(out)
+            shared.destroy()
     return out
 
 
-def _hit_words(spans: str = "_spans"):
+def _hit_words(spans: str) -> Column:
     return F.aggregate(spans, F.lit(0), lambda n, s: n + s.end_word - s.start_word)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = N, shortest: int = SHORTEST, drop_share: float = DROP_SHARE, slice_words: int = SLICE_WORDS) -> DataFrame:
     """A row for each span: doc_id, item_id, its words and characters, the document's words, those in spans, and 'drop' or 'cut'."""
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    marked = _marked(docs, benchmark, n, shortest, slice_words).where("size(_spans) > 0").withColumn("hit_words", _hit_words())
+    marked = _marked(docs, benchmark, n, shortest, slice_words).where("size(_spans) > 0").withColumn("hit_words", _hit_words("_spans"))
     action = F.when(F.col("hit_words") >= drop_share * F.col("_words"), "drop").otherwise("cut")
     return marked.select("doc_id", F.explode("_spans").alias("s"), F.col("_words").alias("doc_words"), "hit_words", action.alias("action")).select("doc_id", "s.*", "doc_words", "hit_words", "action")
 
@@ -162,16 +170,21 @@ def _cut(texts: pa.Array, spans: pa.Array) -> pa.Array:
 def clean(docs: DataFrame, benchmark: DataFrame, n: int = N, shortest: int = SHORTEST, drop_share: float = DROP_SHARE, slice_words: int = SLICE_WORDS) -> DataFrame:
     """``docs`` without benchmark passages: spans cut out (n_chars set anew, where there is one), mostly contaminated documents gone."""
     columns = docs.columns
-    marked = _marked(docs, benchmark, n, shortest, slice_words).withColumn("_hit", _hit_words())
-    marked = marked.where(F.expr("_hit = 0") | (F.col("_hit") < drop_share * F.col("_words")))
-    out = marked.withColumn("text", F.when(F.col("_hit") > 0, _cut("text", "_spans")).otherwise(F.col("text")))
+    # the map's columns have plain names: it takes none with dots
+    docs = docs.toDF(*(c if c in ("text", "n_chars") else f"column{i}" for i, c in enumerate(columns)))
+    plain = docs.columns
+    marked = _marked(docs, benchmark, n, shortest, slice_words)
+    spans, words = marked.columns[-2:]
+    (hit,) = unused(marked, "_hit")
+    marked = marked.withColumn(hit, _hit_words(spans)).where((F.col(hit) == 0) | (F.col(hit) < drop_share * F.col(words)))
+    out = marked.withColumn("text", F.when(F.col(hit) > 0, _cut("text", spans)).otherwise(F.col("text")))
     if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.when(F.col("_hit") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*(F.col(f"`{c}`") for c in columns))
+        out = out.withColumn("n_chars", F.when(F.col(hit) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return out.select(*plain).toDF(*columns)
 
 
 def op3_decontaminate(spark, sf_dir: str) -> DataFrame:
-    return contaminated(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("start_char", "end_char")
+    return contaminated(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 OP3_SQL = r"""
@@ -194,10 +207,19 @@ islands as (
   select *, sum(new) over (partition by doc_id order by a rows unbounded preceding) as k from marks),
 spans as (
   select doc_id, min(item_id) as item_id, min(a) as start_word, max(a) + 10 as end_word, any_value(n) as doc_words from islands group by doc_id, k),
+pieces as (
+  select doc_id, regexp_extract_all(text, '[^\p{L}\p{N}]+|[\p{L}\p{N}]+') as p from documents where doc_id in (select doc_id from spans)),
+places as (
+  select doc_id, row_number() over (partition by doc_id order by i) - 1 as word, total - length(x) as a, total as b
+  from (select doc_id, i, p[i] as x, sum(length(p[i])) over (partition by doc_id order by i) as total from (select doc_id, p, unnest(range(1, len(p) + 1)) as i from pieces))
+  where regexp_matches(x, '[\p{L}\p{N}]')),
 totals as (
   select doc_id, sum(end_word - start_word) as hit_words from spans group by doc_id)
-select doc_id, item_id, cast(start_word as integer) as start_word, cast(end_word as integer) as end_word,
+select spans.doc_id, item_id, cast(start_word as integer) as start_word, cast(end_word as integer) as end_word,
   cast(doc_words as integer) as doc_words, cast(hit_words as integer) as hit_words,
-  case when hit_words >= 0.5 * doc_words then 'drop' else 'cut' end as action
+  case when hit_words >= 0.5 * doc_words then 'drop' else 'cut' end as action,
+  cast(s.a as integer) as start_char, cast(e.b as integer) as end_char
 from spans join totals using (doc_id)
+join places s on s.doc_id = spans.doc_id and s.word = start_word
+join places e on e.doc_id = spans.doc_id and e.word = end_word - 1
 """

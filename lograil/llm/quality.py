@@ -1,8 +1,9 @@
 """Operator 10, quality classifier: Naive Bayes support vectors (NBSVM).
 
 Tokens are lower-cased words and runs of other visible characters; a document's
-features are the indicators of its 1- and 2-grams, hashed to ``2**BITS`` places;
-all 2-grams of a token and itself are one feature.
+features are the indicators of its 1- and 2-grams, hashed to ``2**BITS`` places.
+The 2-gram of a token and itself counts as its own feature and as one that all such
+2-grams share, so that text of repeated words is known whatever the word.
 For each label (``quality`` and ``toxic``) the indicators are scaled by the
 class log-count ratio ``r = log((p/|p|) / (q/|q|))``, and a linear L2-regularised
 hinge-loss model is fitted to the scaled features by dual coordinate descent
@@ -30,14 +31,16 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .exchange import batches
 from .memory import task
+from .names import column, unused
 from .text import PrefixHash, codepoints, tables
 
 BITS, MAX_LABELLED, MIN_DOCS, ALPHA, C, EPOCHS, SEED = 20, 20_000, 3, 1.0, 4.0, 12, 10
+TWICE = 0x1234567890ABCDEF
 _SPACE = np.zeros(0x110000, dtype=bool)
 _SPACE[[c for c in range(0x3001) if chr(c).isspace()]] = True
 
@@ -65,10 +68,11 @@ def features(texts: list[str | None], bits: int = BITS) -> tuple[np.ndarray, np.
     one = PrefixHash(low).span(starts, ends)
     pair = row[1:] == row[:-1]
     two = (one[:-1] * np.uint64(0x9E3779B97F4A7C15) ^ (one[1:] >> np.uint64(3)))
-    two[one[:-1] == one[1:]] = np.uint64(0x1234567890ABCDEF)
+    twice = np.unique(row[1:][pair & (one[:-1] == one[1:])]).astype(np.int64)
     two = two[pair] * np.uint64(0xBF58476D1CE4E5B9)
     shift = np.uint64(64 - bits)
-    keys = np.concatenate([(row.astype(np.int64) << bits) | (one >> shift).astype(np.int64), (row[1:][pair].astype(np.int64) << bits) | (two >> shift).astype(np.int64)])
+    again = np.int64(TWICE >> (64 - bits))
+    keys = np.concatenate([(row.astype(np.int64) << bits) | (one >> shift).astype(np.int64), (row[1:][pair].astype(np.int64) << bits) | (two >> shift).astype(np.int64), (twice << bits) | again])
     keys.sort()
     keys = keys[np.flatnonzero(np.diff(keys, prepend=-1))]
     return keys >> bits, keys & ((1 << bits) - 1)
@@ -157,8 +161,8 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
     return models
 
 
-def score(docs: DataFrame, models: dict[str, Model | None], text: str = "text") -> DataFrame:
-    """``docs`` and two columns: _quality (negative: rejected), _toxic (positive: rejected)."""
+def score(docs: DataFrame, models: dict[str, Model | None], text: str = "text", into: str = "scores") -> DataFrame:
+    """``docs`` and a struct column ``into`` of quality (negative: rejected) and toxic (positive: rejected)."""
     shared = docs.sparkSession.sparkContext.broadcast(models)
 
     @F.arrow_udf("struct<quality:double,toxic:double>")
@@ -175,21 +179,22 @@ def score(docs: DataFrame, models: dict[str, Model | None], text: str = "text")
             columns.append(pa.array(x, mask=np.isnan(x)))
         return pa.StructArray.from_arrays(columns, names=["quality", "toxic"])
 
-    return docs.withColumn("_s", scores(F.col(text).cast("string"))).withColumns({"_quality": F.col("_s.quality"), "_toxic": F.col("_s.toxic")}).drop("_s")
+    return docs.withColumn(into, scores(F.col(text).cast("string")))
 
 
-ACCEPTED = "coalesce(_quality, 0D) >= 0 and coalesce(_toxic, 0D) <= 0"
+def accepted(scores: str) -> Column:
+    return (F.coalesce(F.col(scores)["quality"], F.lit(0.0)) >= 0) & (F.coalesce(F.col(scores)["toxic"], F.lit(0.0)) <= 0)
 
 
 def keep(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFrame:
     """The documents that the classifier keeps, with their own columns."""
-    columns = docs.columns
-    scored = score(docs, train(docs, labels, max_labelled)).where(ACCEPTED)
-    return scored.select(*(F.col(f"`{c}`") for c in columns))
+    (scores,) = unused(docs, "_scores")
+    kept = score(docs, train(docs, labels, max_labelled), into=scores).where(accepted(scores))
+    return kept.select(*(column(c) for c in docs.columns))
 
 
 def op10_quality(spark, sf_dir: str) -> DataFrame:
     """(doc_id, quality_score, toxic_score) of each document kept."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     scored = score(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
-    return scored.where(ACCEPTED).select("doc_id", F.col("_quality").alias("quality_score"), F.col("_toxic").alias("toxic_score"))
+    return scored.where(accepted("scores")).select("doc_id", F.col("scores.quality").alias("quality_score"), F.col("scores.toxic").alias("toxic_score"))

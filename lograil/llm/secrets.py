@@ -65,9 +65,10 @@ _SECRET = re.compile("|".join(f"(?P<{k}>{p})" for k, p in PATTERNS.items()))
 #: Lower-case texts that some part of every secret contains.
 _HINTS = ("akia", "asia", "private key", "gh", "xox", "aiza", "k_live_", "eyj", "passw", "pwd", "secret", "token", "key")
 _HINT_BYTES = [h.encode() for h in _HINTS]
-_URL = re.compile(r"[!-$&-~]*(?:%[0-9A-Fa-f]{2}[!-$&-~]*)+")
-_ESCAPED = re.compile(r"(?:[!-~]*?(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|&#(?:[0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});))+[!-~]*")
-_ONE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|(&#(?:[0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});)")
+#: Pieces that may have percent-encoding, and runs that may have escapes: each match takes all it can, so that long runs cost no more than their length.
+_URL = re.compile(r"(?:[!-$&-~]|%[0-9A-Fa-f]{2})+")
+_RUN = re.compile(r"[!-~]+")
+_ONE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|(&(?:#(?:[0-9]{1,7}|[xX][0-9A-Fa-f]{1,6})|quot|apos|amp|lt|gt);)")
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
 _HEX = re.compile(r"(?:[0-9A-Fa-f]{2}){16,}[0-9A-Fa-f]?")
 #: A break between lines, also one that is escaped.
@@ -76,7 +77,7 @@ _BASE64_LINES = re.compile(rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{16,}}(?:{_BRE
 _HEX_LINES = re.compile(rf"[0-9A-Fa-f]{{16,}}(?:{_BREAK}[0-9A-Fa-f]{{16,}})*(?:{_BREAK}[0-9A-Fa-f]+)?")
 _LINE = re.compile(_BREAK)
 #: What bytes without a hint must hold to have layers of their own.
-_CODED = re.compile(rb"%[0-9A-Fa-f]{2}|\\[ux]|&#|[A-Za-z0-9+/_-]{16}")
+_CODED = re.compile(rb"%[0-9A-Fa-f]{2}|\\[ux]|&[#a-z]|[A-Za-z0-9+/_-]{16}")
 #: ASCII in UTF-16; a leading zero byte may be the first one's upper half.
 _WIDE = re.compile(rb"(\0?)(?:[\t\n\r -~]\0){4,}")
 _LATIN = {0xDC00 + x: x for x in range(0x80, 0x100)}
@@ -346,10 +347,11 @@ def children(layer: Layer) -> Iterator[Layer | Coded]:
     text = layer.text
     if "%" in text:
         for m in layer.matches(_URL):
-            yield _url(layer, *m.span())
-    if "\\" in text or "&#" in text:
-        for m in layer.matches(_ESCAPED):
-            if new := _escapes(layer, *m.span()):
+            if text.find("%", *m.span()) >= 0:
+                yield _url(layer, *m.span())
+    if _ONE.search(text):
+        for m in layer.matches(_RUN):
+            if _ONE.search(text, *m.span()) and (new := _escapes(layer, *m.span())):
                 data = new.text.encode("latin-1", "replace")
                 if _MAGIC.search(data):
                     yield Coded(data, new.starts, new.ends, new.kinds, new.rank)

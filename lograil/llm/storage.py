@@ -1,7 +1,8 @@
 """Where the corpus operators cut lineage: checkpoints and tables in the cluster's shared folder.
 
-The folder is the session's ``spark.checkpoint.dir``.  Only where that is unset
-(tests, a laptop) a folder of our own under the warehouse directory is set.
+The folder is the session's ``spark.checkpoint.dir``.  Only where that is unset and the
+master is local (tests, a laptop) a folder of our own under the warehouse directory is
+set; a cluster without a shared folder is an error.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ def shared_dir(spark: SparkSession) -> str:
         have = sc._jsc.sc().getCheckpointDir()
         if have.isDefined():
             return have.get()
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("a cluster needs a shared folder: set spark.checkpoint.dir")
         folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(folder)
@@ -27,7 +30,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the shared folder; freed with the last reference to it."""
+    """``df`` computed once and kept in the shared folder.
+
+    Its files are deleted with the last reference to it where the session has
+    ``spark.cleaner.referenceTracking.cleanCheckpoints``, which only a session's start can set; else they stay until the folder is cleared.
+    """
     shared_dir(df.sparkSession)
     return df.checkpoint()
 

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from .exchange import SCHEMA, Packer, batches, part_by, parts_of, runs, unpack
 from .memory import task
 from .repeats import INTERVAL, MIN_WORDS, REACH, WIDTH, pack_intervals, plain, reach, several_docs, spans, winnow
-from .storage import Tables
+from .storage import Tables, cut
 from .text import U64, PrefixHash, Words, mix
 
 SEED = ["<u8", "<u8", "<i8", "<i4", "u1", "u1"]
@@ -185,7 +185,9 @@ def substring_repeats(docs: DataFrame) -> DataFrame:
     wanted = met.where("part < 0").groupBy("doc_id").agg(F.collect_list(F.struct("place", "anchor")).alias("wanted"))
     fetched = docs.join(wanted, "doc_id").select("doc_id", "text", "wanted").mapInArrow(task(_fetch(parts)), SCHEMA)
     extended = fetched.repartitionById(parts, "part").mapInArrow(task(_extend(parts)), SCHEMA)
-    return spans(met.where("part >= 0").select("part", "block").union(extended), parts)
+    found = cut(spans(met.where("part >= 0").select("part", "block").union(extended), parts))
+    tables.drop()
+    return found
 
 
 def op7_substring_dedup(spark, sf_dir: str) -> DataFrame:

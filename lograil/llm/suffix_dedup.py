@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from .exchange import FLUSH_BYTES, SCHEMA, Packer, batches, part_by, parts_of
 from .memory import task
 from .repeats import INTERVAL, MIN_WORDS, REACH, pack_intervals, plain, several_docs, spans
-from .storage import Tables
+from .storage import Tables, cut
 from .substring_dedup import contexts, meet, wanted_places
 from .text import U64, Words, mix
 
@@ -57,6 +57,7 @@ def suffix_keys(anchor: np.ndarray, tokens: np.ndarray) -> np.ndarray:
 
 def front_coded(keys: np.ndarray, anchor: np.ndarray, doc: np.ndarray, place: np.ndarray, left: np.ndarray, right: np.ndarray, parts: int) -> Iterator[tuple[int, bytes]]:
     """The sorted run of these suffixes, as (target partition, front-coded block)."""
+    keys = keys.astype(">u4")  # parts of a run that are joined lose their order of bytes
     order = np.argsort(np.ascontiguousarray(keys).view(f"S{KEY}").ravel(), kind="stable")
     keys, part = keys[order], part_by(anchor[order], parts)
     same = keys[1:] == keys[:-1]
@@ -228,7 +229,9 @@ def suffix_repeats(docs: DataFrame) -> DataFrame:
     wanted = met.where("part < 0").groupBy("doc_id").agg(F.collect_list(F.struct("place", "anchor")).alias("wanted"))
     sorted_runs = docs.join(wanted, "doc_id").select("doc_id", "text", "wanted").mapInArrow(task(_runs(parts)), SCHEMA)
     merged = sorted_runs.repartitionById(parts, "part").mapInArrow(task(_merge(parts)), SCHEMA)
-    return spans(met.where("part >= 0").select("part", "block").union(merged), parts)
+    found = cut(spans(met.where("part >= 0").select("part", "block").union(merged), parts))
+    tables.drop()
+    return found
 
 
 def op5_suffix_dedup(spark, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ import pytest
 from lograil.llm.decontaminate import clean, contaminated, op3_decontaminate
 
 ITEM = "Alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu"
+from lograil.llm import decontaminate
 
 
 def words(text):
@@ -60,3 +61,13 @@ def test_edges_and_cleaning(spark):
     assert not {2, 6, 8} & {r[0] for r in rows} and len(rows) == 7
     assert contaminated(df.where("false"), bench).count() == 0 and contaminated(df, bench.where("false")).count() == 0
     assert clean(df, bench.where("false")).count() == len(docs)
+
+
+def test_names_may_clash_and_slices_agree(spark):
+    text = "one two three four five six seven eight nine ten"
+    docs = spark.createDataFrame([(1, f"before it all {text} and after it comes much more text than that, word after word after word", 7, 8, 9)], "doc_id long, text string, _words int, _HIT int, _spans int")
+    items = spark.createDataFrame([(i, f"{text} {i}") for i in range(30)], "item_id long, text string")
+    for size in (2_000_000, 60):
+        out = decontaminate.clean(docs, items, slice_words=size)
+        assert out.columns == docs.columns
+        assert [tuple(r) for r in out.collect()] == [(1, "before it all  and after it comes much more text than that, word after word after word", 7, 8, 9)]

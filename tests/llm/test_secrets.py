@@ -1,3 +1,4 @@
+import time
 import base64
 import bz2
 import gzip
@@ -179,3 +180,29 @@ def test_oversized_layers_are_scanned_in_windows(kind, code):
     assert [x[0] for x in found].count("oversized_layer") == 1
     got = [(x[5], x[4]) for x in found if x[0] == "aws_access_key"]
     assert sorted(got) == sorted(want.items()) and {x[1:3] for x in found} == {(4, 4 + len(text))}
+
+
+def test_long_texts_without_spaces_take_linear_time():
+    for text in ("a" * 1_000_000 + " 100%", "ab%" * 300_000, "x&" * 400_000, "/" * 500_000 + "%zz", "\\" * 500_000):
+        began = time.perf_counter()
+        secrets.scan(text)
+        assert time.perf_counter() - began < 20
+
+
+def test_named_character_references():
+    found = secrets.scan("password=&quot;hunter2hunter2&quot;")
+    assert any(x[5] == 'password="hunter2hunter2' for x in found)
+
+
+def test_nested_findings_in_the_tables(spark):
+    """Every document with a key planted under three layers of its own: found there, and what was found before still is."""
+    rows = [(r.doc_id, r.text or "") for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    for doc, text in rows[:60]:
+        key = f"AKIA{hashlib.sha1(str(doc).encode()).hexdigest()[:16].upper()}"
+        packed = base64.b64encode(gzip.compress(f"config {key} end".encode())).decode()
+        hidden = "".join(f"%{b:02X}" for b in packed.encode())
+        before, after = secrets.scan(text), secrets.scan(f"{text}\n{hidden}\nend")
+        mine = [x for x in after if x[5] == key]
+        assert [(x[0], x[4]) for x in mine] == [("aws_access_key", "url>base64>gzip")]
+        assert mine[0][1] >= len(text) and mine[0][2] <= len(text) + 1 + len(hidden)
+        assert {x[:3] for x in before} <= {x[:3] for x in after}
