@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,21 +34,29 @@ def _pages(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["page", "bits"])
 
 
-def maybe_in(ids: DataFrame, column: str):
-    """A function of a column: false only if its value, as a 64 bit integer, is none of ``ids``.
+def bitmap(places: DataFrame) -> Broadcast:
+    """The bits at the places (column p: integers below 2**BITS), broadcast as bytes.
 
-    Runs ``ids``: at most 2**(BITS - PAGE) rows of 2**PAGE bits come to the driver.
+    At most 2**(BITS - PAGE) rows of 2**PAGE bits come to the driver.
     """
-    places = ids.select(_place(F.col(column).cast("long")).alias("p")).select(F.shiftright("p", PAGE).alias("page"), F.col("p").bitwiseAND(F.lit((1 << PAGE) - 1)).alias("at"))
+    places = places.select(F.shiftright("p", PAGE).alias("page"), F.col("p").bitwiseAND(F.lit((1 << PAGE) - 1)).alias("at"))
     pages = places.groupBy("page").agg(F.collect_set("at").alias("at")).mapInArrow(task(_pages), "page int, bits binary").toArrow()
-    bitmap = np.zeros(1 << (BITS - 3), np.uint8)
+    found = np.zeros(1 << (BITS - 3), np.uint8)
     for page, bits in zip(pages.column("page").to_pylist(), pages.column("bits").to_pylist()):
-        bitmap[page << (PAGE - 3) : (page + 1) << (PAGE - 3)] = np.frombuffer(bits, np.uint8)
-    shared = ids.sparkSession.sparkContext.broadcast(bitmap)
+        found[page << (PAGE - 3) : (page + 1) << (PAGE - 3)] = np.frombuffer(bits, np.uint8)
+    return places.sparkSession.sparkContext.broadcast(found)
+
+
+def are_set(bits: np.ndarray, p: np.ndarray) -> np.ndarray:
+    return (bits[p >> 3] >> (7 - (p & 7)).astype(np.uint8)) & 1 == 1
+
+
+def maybe_in(ids: DataFrame, column: str):
+    """A function of a column: false only if its value, as a 64 bit integer, is none of ``ids``.  Runs ``ids``."""
+    shared = bitmap(ids.select(_place(F.col(column).cast("long")).alias("p")))
 
     @F.arrow_udf("boolean")
     def may(at: pa.Array) -> pa.Array:
-        p = at.to_numpy(zero_copy_only=False)
-        return pa.array((shared.value[p >> 3] >> (7 - (p & 7)).astype(np.uint8)) & 1 == 1)
+        return pa.array(are_set(shared.value, at.to_numpy(zero_copy_only=False)))
 
     return lambda id_column: may(_place(F.col(id_column).cast("long")))

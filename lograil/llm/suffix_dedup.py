@@ -1,15 +1,19 @@
 """Operator 5, suffix-array dedup: a common-prefix-aware distributed merge sort.
 
-The suffixes sorted are those at winnowed anchors (see ``repeats``): a sparse suffix
+The suffixes sorted are all those at winnowed anchors (see ``repeats``): a sparse suffix
 array, in which every repeat of MIN_WORDS words has a suffix.  A suffix is a string of
 symbols: its anchor (hash of the first GRAM words, so that ranges of it part evenly),
-its next MIN_WORDS words, then the REACH words before it, nearest first.
+its next MIN_WORDS words, then the REACH words before it, nearest first; symbols
+beyond these cannot change the result.
 
-1. Equal suffixes are one: a packed exchange of hashes drops the suffixes whose
-   anchor one document only has, and returns the intervals of those that are equal in
-   full.  Of equal suffixes two, of different documents, stand for all.
+1. Distinguishing prefixes (prefix doubling merge sort, Bingmann, Sanders and Schimek
+   2020): anchors are counted by a packed exchange of hashes, and a bitmap of fixed
+   size says which may have several documents.  Any other suffix is told apart
+   by its anchor, so its anchor is all of it that is sent and sorted.
 2. Each map task sorts its suffixes and sends the run front-coded: the number of
-   symbols shared with the suffix before it, and the other symbols.
+   symbols shared with the suffix before it, and the other symbols.  Of suffixes of a
+   run that are equal in full two, of different documents, stand for all; the rest are
+   intervals already.
 3. Each reduce task owns a range of anchors and merges its runs with a loser tree
    (Ng and Kakehi, 2008).  Every head knows how many symbols it shares with the last
    winner, the losers on the path how many with it; heads that differ in that are
@@ -34,14 +38,14 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .exchange import FLUSH_BYTES, SCHEMA, Packer, batches, part_by, parts_of
+from .exchange import FLUSH_BYTES, SCHEMA, Packer, batches, part_by, parts_of, reduce_blocks, runs
+from .idfilter import BITS, are_set, bitmap
 from .memory import task
-from .repeats import INTERVAL, MIN_WORDS, REACH, pack_intervals, plain, several_docs, spans
-from .storage import Tables, cut
-from .substring_dedup import contexts, meet, wanted_places
+from .repeats import INTERVAL, MIN_WORDS, REACH, pack_intervals, plain, several_docs, spans, winnow
+from .substring_dedup import contexts
 from .text import U64, Words, mix
 
 SYMBOLS = 2 + MIN_WORDS + REACH
@@ -55,31 +59,51 @@ def suffix_keys(anchor: np.ndarray, tokens: np.ndarray) -> np.ndarray:
     return np.concatenate([head, tokens[:, REACH:], tokens[:, :REACH][:, ::-1]], axis=1).astype(">u4")
 
 
-def front_coded(keys: np.ndarray, anchor: np.ndarray, doc: np.ndarray, place: np.ndarray, left: np.ndarray, right: np.ndarray, parts: int) -> Iterator[tuple[int, bytes]]:
-    """The sorted run of these suffixes, as (target partition, front-coded block)."""
+def front_coded(keys: np.ndarray, size: np.ndarray, anchor: np.ndarray, doc: np.ndarray, place: np.ndarray, left: np.ndarray, right: np.ndarray, parts: int, settled: list | None = None) -> Iterator[tuple[int, bytes]]:
+    """The sorted run of these suffixes, of ``size`` symbols each, as (target partition, front-coded block).
+
+    ``settled`` gets (doc, start, end, other) of suffixes that are equal in full in several documents, of which two go on.
+    """
     keys = keys.astype(">u4")  # parts of a run that are joined lose their order of bytes
-    order = np.argsort(np.ascontiguousarray(keys).view(f"S{KEY}").ravel(), kind="stable")
-    keys, part = keys[order], part_by(anchor[order], parts)
+    keys[np.arange(SYMBOLS) >= size[:, None]] = 0
+    order = np.lexsort((doc, np.unique(np.ascontiguousarray(keys).view(f"V{KEY}").ravel(), return_inverse=True)[1]))
+    keys, size, doc, place, left, right, anchor = (x[order] for x in (keys, size, doc, place, left, right, anchor))
+    if settled is not None and len(keys):
+        new = np.ones(len(keys), bool)
+        new[1:] = (keys[1:] != keys[:-1]).any(axis=1) | (size[1:] < SYMBOLS) | (left[1:] != left[:-1]) | (right[1:] != right[:-1])
+        start = np.flatnonzero(new)
+        end = np.append(start[1:], len(keys))
+        several = doc[start] != doc[end - 1]
+        for a, b in zip(start[several & (end - start > 2)], end[several & (end - start > 2)]):
+            k = np.arange(a, b)
+            settled.append((doc[k], place[k].astype(np.int64) - left[k], place[k].astype(np.int64) + right[k], np.where(doc[k] == doc[a], doc[b - 1], doc[a])))
+            new[b - 1] = True
+        drop = np.zeros(len(keys), bool)
+        inside = np.repeat(several & (end - start > 2), end - start)
+        drop[inside] = ~new[inside]
+        keys, size, doc, place, left, right, anchor = (x[~drop] for x in (keys, size, doc, place, left, right, anchor))
+    part = part_by(anchor, parts)
     same = keys[1:] == keys[:-1]
     common = np.zeros(len(keys), np.uint8)
-    common[1:] = np.where(same.all(axis=1), SYMBOLS, (~same).argmax(axis=1))
+    common[1:] = np.minimum(np.where(same.all(axis=1), SYMBOLS, (~same).argmax(axis=1)), np.minimum(size[1:], size[:-1]))
     cuts = np.flatnonzero(np.diff(part, prepend=-1))
     common[cuts] = 0
-    columns = [doc[order].astype("<i8"), place[order].astype("<i4"), left[order].astype("u1"), right[order].astype("u1"), common]
+    columns = [doc.astype("<i8"), place.astype("<i4"), left.astype("u1"), right.astype("u1"), size.astype("u1"), common]
     for a, b in zip(cuts, [*cuts[1:], len(keys)]):
-        rest = keys[a:b][np.arange(SYMBOLS) >= common[a:b, None]]
+        at = np.arange(SYMBOLS)
+        rest = keys[a:b][(at >= common[a:b, None]) & (at < size[a:b, None])]
         yield int(part[a]), np.array([b - a], "<u4").tobytes() + b"".join(c[a:b].tobytes() for c in columns) + rest.tobytes()
 
 
 def read_run(block: bytes) -> Iterator[tuple[int, bytes, tuple[int, int, int, int]]]:
     """(symbols shared with the suffix before, suffix, (doc, place, left, right)) of a front-coded block."""
     n, at, columns = int(np.frombuffer(block, "<u4", 1)[0]), 4, []
-    for kind in ("<i8", "<i4", "u1", "u1", "u1"):
+    for kind in ("<i8", "<i4", "u1", "u1", "u1", "u1"):
         columns.append(np.frombuffer(block, kind, n, at).tolist())
         at += n * np.dtype(kind).itemsize
     key = b""
-    for doc, place, left, right, common in zip(*columns):
-        end = at + KEY - 4 * common
+    for doc, place, left, right, size, common in zip(*columns):
+        end = at + 4 * (size - common)
         key = key[: 4 * common] + block[at:end]
         at = end
         yield common, key, (doc, place, left, right)
@@ -121,8 +145,9 @@ class LoserTree:
             win, lose = (a, b) if a < b else (b, a)
             new = common + len(p) // 4
         else:
-            differ = int.from_bytes(p) ^ int.from_bytes(q)
-            new = common + (len(p) - (differ.bit_length() + 7) // 8) // 4
+            n = min(len(p), len(q))
+            differ = int.from_bytes(p[:n]) ^ int.from_bytes(q[:n])
+            new = common + (n - (differ.bit_length() + 7) // 8) // 4
             win, lose = (a, b) if p < q else (b, a)
         self.compared += new - common + 1
         self.shared[lose] = new
@@ -170,51 +195,108 @@ def shared_extensions(common: np.ndarray, before: np.ndarray, doc: np.ndarray, l
     return hit, most[hit], MIN_WORDS - least[hit], other[hit]
 
 
-def _runs(parts: int):
+ANCHOR = ["<u8", "<i8"]
+#: Places whose anchors are merged before they are sent.
+HELD = 1 << 19
+
+
+def _ends(anchor: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each anchor the least and the greatest document."""
+    order = np.lexsort((doc, anchor))
+    anchor, doc = anchor[order], doc[order]
+    start, end = runs(anchor)
+    keep = np.unique(np.concatenate([start, end - 1]))
+    return anchor[keep], doc[keep]
+
+
+def _anchors(parts: int):
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack, held, size = Packer(ANCHOR), [], 0
+        for batch, texts in batches(it):
+            words = Words(texts)
+            at, anchor = winnow(words)
+            held.append((anchor, batch.column(0).to_numpy(zero_copy_only=False)[words.doc[at]].astype(np.int64)))
+            size += len(at)
+            if size > HELD:
+                anchor, doc = _ends(*(np.concatenate(x) for x in zip(*held)))
+                yield from pack.add(part_by(anchor, parts), anchor, doc)
+                held, size = [], 0
+        if held:
+            anchor, doc = _ends(*(np.concatenate(x) for x in zip(*held)))
+            yield from pack.add(part_by(anchor, parts), anchor, doc)
+        yield from pack.flush()
+
+    return run
+
+
+def _bit(anchor: np.ndarray) -> np.ndarray:
+    return (mix(anchor) >> U64(64 - BITS)).astype(np.int64)
+
+
+def _repeated(anchor: np.ndarray, doc: np.ndarray) -> Iterator[pa.RecordBatch]:
+    many, _ = several_docs(doc, anchor)
+    yield pa.RecordBatch.from_arrays([pa.array(np.unique(_bit(anchor[many])).astype(np.int32))], names=["p"])
+
+
+def _runs(parts: int, repeated: Broadcast):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
+        pack = Packer(INTERVAL, b"I")
 
-        def flush() -> pa.RecordBatch:
-            blocks = list(front_coded(*(np.concatenate(x) for x in zip(*held)), parts))
-            return pa.RecordBatch.from_arrays([pa.array([p for p, _ in blocks], pa.int32()), pa.array([b for _, b in blocks], pa.binary())], names=["part", "block"])
+        def flush() -> Iterator[pa.RecordBatch]:
+            settled: list = []
+            blocks = list(front_coded(*(np.concatenate(x) for x in zip(*held)), parts, settled))
+            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in blocks], pa.int32()), pa.array([b"S" + b for _, b in blocks], pa.binary())], names=["part", "block"])
+            if settled:
+                yield from pack_intervals(pack, parts, *(np.concatenate(x) for x in zip(*settled)))
 
         for batch, texts in batches(it):
             words = Words(texts)
-            row, at, anchor = wanted_places(words, batch.column(2).to_pylist())
+            at, anchor = winnow(words)
             if not len(at):
                 continue
+            row = words.doc[at]
+            several = are_set(repeated.value, _bit(anchor))
             tokens, left, right = contexts(words, at)
-            doc = batch.column(0).to_numpy(zero_copy_only=False)[row]
-            held.append((suffix_keys(anchor, tokens), anchor, doc, at - words.first[row], left, right))
+            doc = batch.column(0).to_numpy(zero_copy_only=False)[row].astype(np.int64)
+            held.append((suffix_keys(anchor, tokens), np.where(several, SYMBOLS, 2), anchor, doc, at - words.first[row], left, right))
             size += len(at) * KEY
             if size >= FLUSH_BYTES:
-                yield flush()
+                yield from flush()
                 held, size = [], 0
         if held:
-            yield flush()
+            yield from flush()
+        yield from pack.flush()
 
     return run
 
 
 def _merge(parts: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks = [x for batch in it for x in batch.column(1).to_pylist()]
-        pack = Packer(INTERVAL)
+        blocks, pack = [], Packer(INTERVAL)
+        for batch in it:
+            for part, block in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if block[:1] == b"S":
+                    blocks.append(block[1:])
+                else:  # an interval already
+                    yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([block[1:]], pa.binary())], names=["part", "block"])
         held: list[tuple] = []
 
         def done() -> Iterator[pa.RecordBatch]:
             common = np.array([x[0] for x in held])
             common[0] = 0
-            keys = np.frombuffer(b"".join(x[1] for x in held), ">u4").reshape(-1, SYMBOLS)
+            keys = np.frombuffer(b"".join(x[1].ljust(KEY, b"\0") for x in held), ">u4").reshape(-1, SYMBOLS)
             doc, place, left, right = np.array([x[2] for x in held], np.int64).T
             hit, before, after, other = shared_extensions(common, keys[:, 2 + MIN_WORDS :], doc, left, right)
             yield from pack_intervals(pack, parts, doc[hit], place[hit] - before, place[hit] + after, other)
 
         for entry in LoserTree([read_run(b) for b in blocks]):
-            if len(held) >= SLICE and entry[0] < 2:  # another anchor
+            alone = len(entry[1]) == 8  # told apart by its anchor; what follows it shares no anchor with what came before, so common prefixes stay right
+            if entry[0] < 2 and len(held) >= SLICE:  # another anchor
                 yield from done()
                 held = []
-            held.append(entry)
+            if not alone:
+                held.append(entry)
         if held:
             yield from done()
         yield from pack.flush()
@@ -224,14 +306,10 @@ def _merge(parts: int):
 
 def suffix_repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, start_word, end_word, n_words, other_doc_id): the maximal spans that other documents repeat."""
-    docs, parts, tables = plain(docs), parts_of(docs.sparkSession), Tables(docs.sparkSession)
-    met = tables.write("met", meet(docs, parts))
-    wanted = met.where("part < 0").groupBy("doc_id").agg(F.collect_list(F.struct("place", "anchor")).alias("wanted"))
-    sorted_runs = docs.join(wanted, "doc_id").select("doc_id", "text", "wanted").mapInArrow(task(_runs(parts)), SCHEMA)
-    merged = sorted_runs.repartitionById(parts, "part").mapInArrow(task(_merge(parts)), SCHEMA)
-    found = cut(spans(met.where("part >= 0").select("part", "block").union(merged), parts))
-    tables.drop()
-    return found
+    docs, parts = plain(docs), parts_of(docs.sparkSession)
+    counted = reduce_blocks(docs.mapInArrow(task(_anchors(parts)), SCHEMA), ANCHOR, _repeated, "p int", parts)
+    sorted_runs = docs.mapInArrow(task(_runs(parts, bitmap(counted))), SCHEMA)
+    return spans(sorted_runs.repartitionById(parts, "part").mapInArrow(task(_merge(parts)), SCHEMA), parts)
 
 
 def op5_suffix_dedup(spark, sf_dir: str) -> DataFrame:
