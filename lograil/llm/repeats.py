@@ -51,7 +51,7 @@ def winnow(words: Words) -> tuple[np.ndarray, np.ndarray]:
     chosen = np.zeros(len(grams), bool)
     chosen[(low - (least[whole] & low)).astype(np.int64)] = True
     at = np.flatnonzero(chosen)
-    return at, grams[at]
+    return at, mix(grams[at])  # least hashes crowd at the low end: mixed again, equal ranges of them part evenly
 
 
 def reach(words: Words, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
